@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .quality_rules import op9_quality_rules
+from .secret_scan import op6_secret_scan
 from .simhash import op7_simhash
 from .sharding import op8_sharding
 from .token_counts import op10_token_counts
 
 QUERIES = {
+    "op6_secret_scan": op6_secret_scan,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
