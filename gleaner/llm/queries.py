@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .lm_scoring import op2_lm_scoring
 from .quality_rules import op9_quality_rules
 from .secret_scan import op6_secret_scan
-from .simhash import op7_simhash
+from .sentencepieces import op1_sentencepiece
 from .sharding import op8_sharding
+from .simhash import op7_simhash
 from .token_counts import op10_token_counts
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_lm_scoring": op2_lm_scoring,
     "op6_secret_scan": op6_secret_scan,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
