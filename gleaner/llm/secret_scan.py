@@ -62,7 +62,7 @@ def ordinary_strings(docs: DataFrame, n_texts: int, text: str = "text") -> DataF
     """Words of about ``n_texts`` texts, plain and joined as identifiers are."""
     n = docs.count()
     picked = docs.where(F.pmod(F.xxhash64(text), F.lit(max(1, n // max(1, n_texts)))) == 0)
-    w = F.regexp_extract_all(F.substring(F.col(text), 1, 20_000), F.lit(r"(?<![A-Za-z0-9+/_-])[A-Za-z]{2,24}(?![A-Za-z0-9+/_-])"), F.lit(0))
+    w = F.regexp_extract_all(F.col(text), F.lit(r"(?<![A-Za-z0-9+/_-])[A-Za-z]{2,24}(?![A-Za-z0-9+/_-])"), F.lit(0))
     rows = picked.select(w.alias("w")).where(F.size("w") > 2)
     joined = F.transform("w", lambda x, i: F.concat(F.lower(x), F.initcap(F.coalesce(F.get("w", i + 1), F.lit("")))))
     snake = F.transform("w", lambda x, i: F.concat_ws("_", F.lower(x), F.lower(F.get("w", i + 1)), F.lower(F.get("w", i + 2))))
@@ -141,5 +141,6 @@ def train_on(docs: DataFrame, n_random: int = 20_000, n_texts: int = 500) -> Mar
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_spans(docs, train_on(docs))
-    counts = [F.size(F.filter("base_spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind, *_ in PATTERNS]
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind, *_ in PATTERNS]
     return found.select("doc_id", *counts, F.sha2(_listed(F.col("base_spans")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
