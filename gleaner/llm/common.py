@@ -71,6 +71,14 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_FREE_SHUFFLES, before)
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``df``, of narrow rows and written before, with a broadcast hint if it is small; else Spark shuffles.
+
+    Counting a written table reads file footers only.
+    """
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

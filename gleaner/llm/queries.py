@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .decontamination import op3_decontamination
+from .line_dedup import op5_line_dedup
 from .lm_scoring import op2_lm_scoring
 from .quality_rules import op9_quality_rules
+from .quotations import op4_quotations
 from .secret_scan import op6_secret_scan
 from .sentencepieces import op1_sentencepiece
 from .sharding import op8_sharding
@@ -13,6 +16,9 @@ from .token_counts import op10_token_counts
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_decontamination": op3_decontamination,
+    "op4_quotations": op4_quotations,
+    "op5_line_dedup": op5_line_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,

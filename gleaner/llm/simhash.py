@@ -203,3 +203,18 @@ def near_duplicates(docs: DataFrame, t: int = 2, words: int = 3, id_col: str = "
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, t: int = 2, words: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pipeline stage: of each component of near copies the rows with its smallest id.
+
+    Texts without words aren't copies of each other and all stay; so do rows
+    with a null id, as no id speaks for them. Of repeated rows one stays.
+    """
+    columns = docs.columns
+    blank = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x09-\x0D]", " ")) == ""
+    found = near_duplicates(docs.where(~blank & F.col(id_col).isNotNull()), t, words, id_col, text)
+    ids = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = docs.where(~blank & F.col(id_col).isNotNull()).join(ids, id_col, "left_semi")
+    alone = docs.where(blank | F.col(id_col).isNull())
+    return kept.select(columns).dropDuplicates([id_col, text]).unionByName(alone.select(columns))
