@@ -22,24 +22,30 @@ def text_size(text: str | Column) -> Column:
     return (F.octet_length(text_or_empty(text)) + 8).cast("long")
 
 
-def _greedy(points: list[int], capacity: int, n: int) -> list[int] | None:
-    """Ends of at most n shards over the prefix sums ``points``, or None."""
+def _greedy(points: list[int], starts: list[int], capacity: int, n: int, hopeful: bool = False) -> list[int] | None:
+    """Ends of at most n shards over the prefix sums ``points``, or None.
+
+    Between ``starts[i]`` and ``points[i]`` there may be prefix sums that
+    aren't known; if ``hopeful``, one is taken to lie wherever it would help.
+    """
     ends, at = [], 0
     while at < points[-1]:
-        i = bisect_right(points, at + capacity) - 1
-        if len(ends) == n or points[i] <= at:
+        reach = at + capacity
+        i = bisect_right(points, reach)
+        end = reach if hopeful and i < len(points) and starts[i] <= reach else points[i - 1]
+        if len(ends) == n or end <= at:
             return None
-        at = points[i]
+        at = end
         ends.append(at)
     return ends
 
 
-def smallest_capacity(points: list[int], n: int, least: int) -> int:
+def smallest_capacity(points: list[int], starts: list[int], n: int, least: int, hopeful: bool = False) -> int:
     """The least capacity of at least ``least`` with which ``points`` fill n shards."""
     low, high = max(least, -(-points[-1] // n)), points[-1]
     while low < high:
         mid = (low + high) // 2
-        if _greedy(points, mid, n) is None:
+        if _greedy(points, starts, mid, n, hopeful) is None:
             low = mid + 1
         else:
             high = mid
@@ -81,28 +87,32 @@ def minimax_cuts(prefixes: DataFrame, n: int, most_points: int = 100_000) -> tup
     if top[0] is None:
         return 0, []
     total, largest = int(top[0]), int(top[1])
-    known: set[int] = {0, total}
-    spans, low = [(0, total)], max(largest, -(-total // n))
+    known: dict[int, int] = {0: 0, total: total}
+    spans, low, width = [(0, total)], max(largest, -(-total // n)), total
     while True:
-        width = max(1, -(-sum(b - a for a, b in spans) // most_points))
-        found, whole = _largest_in_spans(prefixes, spans, width)
-        known = {p for p in known if not any(a < p < b for a, b in spans)} | found | {0, total}
+        # Always finer than before, and at last every prefix sum by itself.
+        width = max(1, min(-(-sum(b - a for a, b in spans) // most_points), width // 2))
+        # Of a cell that reaches into a span only what lies beyond it is still in doubt.
+        kept = {p: max([q, *(b + 1 for _, b in spans if q <= b < p)]) for p, q in known.items() if not any(a <= p <= b for a, b in spans)}
+        known = {0: 0, total: total} | kept | _largest_in_spans(prefixes, spans, width)
         points = sorted(known)
-        high = smallest_capacity(points, n, low)
-        if whole or high == low:
-            return high, _greedy(points, high, n)
+        starts = [known[p] for p in points]
+        low = smallest_capacity(points, starts, n, low, hopeful=True)
+        high = smallest_capacity(points, starts, n, low)
+        if high == low:
+            return high, _greedy(points, starts, high, n)
         spans = _windows(points, low, high, n)
 
 
-def _largest_in_spans(prefixes: DataFrame, spans: list[tuple[int, int]], width: int) -> tuple[set[int], bool]:
-    """The largest prefix of each cell of ``width`` in ``spans``; True if that is all there are."""
+def _largest_in_spans(prefixes: DataFrame, spans: list[tuple[int, int]], width: int) -> dict[int, int]:
+    """The largest prefix of each cell of ``width`` in ``spans``, and the smallest beside it."""
     inside, cell = F.lit(False), F.lit(None).cast("long")
     p = F.col("prefix")
     for k, (a, b) in enumerate(spans):
         inside = inside | p.between(a, b)
         cell = F.when(p.between(a, b), F.floor((p - a) / F.lit(width)) * len(spans) + k).otherwise(cell)
-    rows = prefixes.where(inside).groupBy(cell.alias("cell")).agg(F.max("prefix").alias("p"), F.count(F.lit(1)).alias("n")).select("p", "n").collect()
-    return {r["p"] for r in rows}, all(r["n"] == 1 for r in rows)
+    rows = prefixes.where(inside).groupBy(cell.alias("cell")).agg(F.max("prefix").alias("p"), F.min("prefix").alias("q")).select("p", "q").collect()
+    return {r["p"]: r["q"] for r in rows}
 
 
 def group_prefixes(docs: DataFrame, key: str, size: str, buckets: int) -> DataFrame:
