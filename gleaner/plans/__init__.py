@@ -1 +1,6 @@
+"""Queries over the tables of a folder."""
 
+from . import ledger
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "ledger"]
