@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 # Accelerator seasons and the month in which each starts.
 SEASON_MONTH = {"W": "01", "SP": "04", "X": "04", "S": "06", "F": "09"}
-#: Ways in which sources write a date, tried in order.
-FORMATS = ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy")
+#: Ways in which sources write a date, tried in order; a leading weekday is passed over.
+FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy")
+
+
+def _without_weekday(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s*[A-Za-z]{3},\s*", "")
 
 
 def iso_date(text: Column) -> Column:
     """A date from its ISO start, else from one of ``FORMATS``; null if neither fits."""
     start = F.regexp_extract(text, r"^\s*(\d{4}-\d{2}-\d{2})", 1)
-    return F.coalesce(F.try_to_timestamp(F.nullif(start, F.lit("")), F.lit("yyyy-MM-dd")).cast("date"), *(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in FORMATS))
+    return F.coalesce(F.try_to_timestamp(F.nullif(start, F.lit("")), F.lit("yyyy-MM-dd")).cast("date"), *(F.try_to_timestamp(_without_weekday(text), F.lit(f)).cast("date") for f in FORMATS))
 
 
 def feed_timestamp(text: Column) -> Column:
-    return F.coalesce(F.try_to_timestamp(text), *(F.try_to_timestamp(text, F.lit(f)) for f in FORMATS))
+    return F.coalesce(F.try_to_timestamp(text), *(F.try_to_timestamp(_without_weekday(text), F.lit(f)) for f in FORMATS))
 
 
 def days_between(a: Column, b: Column) -> Column:
