@@ -31,6 +31,7 @@ _SPACE, _BLOCK = 0x20, 0x2581
 _LITERAL = 0x110000
 _PART = re.compile("[ ]*[^ \n▁]+|[ ]+|\n|▁")
 _U = np.uint64
+_FACTOR = _U(0x100000001B3)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,10 +65,14 @@ class Vocabulary:
         self.byte_id = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         for b, i in enumerate(self.byte_id):
             self.bytes[i] = bytes([b])
-        rank = np.array([min(-model.get_score(i), self.size) if i in set(plain) else self.size for i in range(self.size)])
+        rank = np.full(self.size, float(self.size))
+        rank[plain] = [min(-model.get_score(i), self.size) for i in plain]
         zipf = alpha * -np.log1p(rank)
         self.weight = zipf - np.log(np.exp(zipf).sum())
         self.longest = max(len(pieces[i]) for i in plain)
+        #: Byte ids of characters without a piece, which are numbered beyond the model's ids.
+        self.spelling: list[list[int]] = []
+        self._spelt: dict[int, int] = {}
         self.by_length = []
         self.single = np.full(_LITERAL + 1, -1, np.int32)
         for n in range(1, self.longest + 1):
@@ -76,7 +81,7 @@ class Vocabulary:
             if own:
                 codes = np.array([[ord(c) for c in pieces[i]] for i in own], np.uint64)
                 for k in range(n):
-                    h = h * _U(0x100000001B3) + codes[:, k] + _U(1)
+                    h = h * _FACTOR + codes[:, k] + _U(1)
                 if n == 1:
                     self.single[codes[:, 0].astype(np.int64)] = own
             h = _mix(h)
@@ -85,6 +90,14 @@ class Vocabulary:
             seen[(h >> _U(48)).astype(np.int64)] = True
             self.by_length.append((h[order], np.array(own, np.int32)[order], seen))
 
+    def spelt(self, code: int) -> int:
+        if code not in self._spelt:
+            char = chr(code if code != _LITERAL else _BLOCK)
+            self.spelling.append([self.byte_id[b] for b in char.encode("utf-8", "surrogatepass")])
+            self._spelt[code] = self.size + len(self.spelling) - 1
+            self.weight = np.append(self.weight, sum(self.weight[i] for i in self.spelling[-1]))
+        return self._spelt[code]
+
     def arcs(self, codes: np.ndarray, room: np.ndarray) -> np.ndarray:
         """Ids of the pieces that end at each character, by length; -1 where there is none.
 
@@ -92,23 +105,23 @@ class Vocabulary:
         """
         out = np.full((len(codes), self.longest), -1, np.int32)
         wide = codes.astype(np.uint64) + _U(1)
-        # The hash of the n characters that end here starts n - 1 characters before.
         out[:, 0] = self.single[codes]
-        h = wide.copy()
+        at, h, powers = np.arange(len(codes)), wide, np.cumprod(np.full(self.longest, _FACTOR))
         for n in range(2, self.longest + 1):
-            # h[i]: hash of codes[i : i + n - 1]; it grows at its end.
-            h = h[:-1] * _U(0x100000001B3) + wide[n - 1 :]
-            if not len(h):
+            # The hash of the n characters that end here; it grows at its start.
+            more = np.flatnonzero(room[at] >= n)
+            if not len(more):
                 break
+            at, h = at[more], h[more]
+            h = h + wide[at - n + 1] * powers[n - 2]
             keys, ids, seen = self.by_length[n - 1]
             if not len(keys):
                 continue
             mixed = _mix(h)
-            at = np.flatnonzero(seen[(mixed >> _U(48)).astype(np.int64)] & (room[n - 1 :] >= n))
-            if len(at):
-                k = np.minimum(np.searchsorted(keys, mixed[at]), len(keys) - 1)
-                hit = keys[k] == mixed[at]
-                out[at[hit] + n - 1, n - 1] = ids[k[hit]]
+            likely = np.flatnonzero(seen[(mixed >> _U(48)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(keys, mixed[likely]), len(keys) - 1)
+            hit = keys[k] == mixed[likely]
+            out[at[likely[hit]], n - 1] = ids[k[hit]]
         return out
 
 
@@ -121,10 +134,17 @@ class _Numbers(dict):
 
 
 class Lattice:
-    """Forward-filtered lattices of distinct parts, ready for sampling."""
+    """Forward-filtered lattices of distinct parts, ready for sampling.
+
+    ``base`` and ``lengths`` are by part: where its states start, one for
+    each character, and how many there are. ``first`` is by state: its first
+    arc. By arc: ``piece``, ``back`` (characters), and ``upto``, the share of
+    the state's ways up to this arc.
+    """
+
+    FIELDS = ("base", "lengths", "first", "upto", "piece", "back")
 
     def __init__(self, vocabulary: Vocabulary, parts: list[str]):
-        v = self.vocabulary = vocabulary
         # Longest first, so that those with an e-th character come first for every e.
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         order = np.argsort(-lengths, kind="stable")
@@ -137,47 +157,52 @@ class Lattice:
         codes[codes == _BLOCK] = _LITERAL
         codes[codes == _SPACE] = _BLOCK
         room = np.arange(len(codes)) - np.repeat(starts, sorted_lengths) + 1
-        found = v.arcs(codes, room)
+        found = vocabulary.arcs(codes, room)
         bare = np.flatnonzero(found[:, 0] < 0)
-        # A character without a piece: numbered beyond the vocabulary.
-        self.spelt, number = np.unique(codes[bare], return_inverse=True)
-        found[bare, 0] = v.size + number
-        spelt = [chr(c if c != _LITERAL else _BLOCK).encode("utf-8", "surrogatepass") for c in self.spelt.tolist()]
-        self.spelling = [[v.byte_id[b] for b in s] for s in spelt]
-        weight = np.concatenate([v.weight, [sum(v.weight[i] for i in s) for s in self.spelling]])
+        if len(bare):
+            odd, which = np.unique(codes[bare], return_inverse=True)
+            found[bare, 0] = np.array([vocabulary.spelt(c) for c in odd.tolist()])[which]
         there = found >= 0
         n_arcs = there.sum(1)
         state, length = np.nonzero(there)
         self.piece = found[state, length]
-        self.back = length + 1
-        w = weight[self.piece]
+        self.back = (length + 1).astype(np.int8)
+        w = vocabulary.weight[self.piece]
         first = np.cumsum(n_arcs) - n_arcs
         alpha = np.zeros(len(codes))
         at_start = room[state] == self.back
         before = np.where(at_start, 0, state - self.back)
-        total = np.empty(len(state))
-        with_arcs = np.append(first, len(state))
+        share = np.empty(len(state))
         n_from = np.searchsorted(-sorted_lengths, -np.arange(1, (sorted_lengths[0] if len(parts) else 0) + 1), side="right")
         for e, n in enumerate(n_from.tolist()):
             here = starts[:n] + e
-            a, b = with_arcs[here], with_arcs[here + 1]
-            count = b - a
-            at = np.repeat(a - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-            s = w[at] + np.where(at_start[at], 0.0, alpha[before[at]])
+            count = n_arcs[here]
             cut = np.cumsum(count) - count
+            at = np.repeat(first[here] - cut, count) + np.arange(int(count.sum()))
+            s = w[at] + np.where(at_start[at], 0.0, alpha[before[at]])
             top = np.maximum.reduceat(s, cut)
-            total[at] = s
-            alpha[here] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, count)), cut))
-        share = np.exp(total - alpha[state])
-        running = np.cumsum(share)
-        last = with_arcs[1:] - 1
-        offset = np.concatenate([[0.0], running[last[:-1]]]) if len(codes) else np.zeros(0)
-        part = np.clip(running - offset[state], 0.0, 1.0)
-        part[last] = 1.0
-        #: The first arc of a state, and the share of its arcs up to each.
-        self.first, self.upto = first, part
-
-    def sample(self, which: np.ndarray, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ways = np.exp(s - np.repeat(top, count))
+            all_ways = np.add.reduceat(ways, cut)
+            share[at] = ways / np.repeat(all_ways, count)
+            alpha[here] = top + np.log(all_ways)
+        # Summed arc by arc within each state, so that a part's table doesn't depend on its neighbours.
+        rank = np.arange(len(state)) - first[state]
+        for k in range(1, int(n_arcs.max()) if len(codes) else 0):
+            at = np.flatnonzero(rank == k)
+            share[at] += share[at - 1]
+        share[first + n_arcs - 1] = 1.0
+        self.first, self.upto = first, share
+
+    def joined(self, other: Lattice) -> Lattice:
+        """Both; the other's parts follow this one's."""
+        out = object.__new__(Lattice)
+        for name in self.FIELDS:
+            shift = {"base": len(self.first), "first": len(self.piece)}.get(name, 0)
+            own, more = getattr(self, name), getattr(other, name)
+            setattr(out, name, np.concatenate([own, more + shift if shift else more]))
+        return out
+
+    def sample(self, vocabulary: Vocabulary, which: np.ndarray, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per occurrence) for occurrences of parts.
 
         ``place``: where in its text an occurrence starts; ``key``: of its row.
@@ -188,8 +213,7 @@ class Lattice:
         rounds: list[tuple[np.ndarray, np.ndarray]] = []
         while len(active):
             rest = left[active]
-            u = _mix(key[active] + (place[active] + rest).astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(11)
-            u = u * 2.0**-53
+            u = (_mix(key[active] + (place[active] + rest).astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(11)) * 2.0**-53
             arc = self.first[base[active] + rest - 1]
             more = np.flatnonzero(self.upto[arc] <= u)
             while len(more):
@@ -205,23 +229,87 @@ class Lattice:
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
         for k, (act, ids) in enumerate(rounds):
             out[ends[act] - 1 - k] = ids
-        size = self.vocabulary.size
-        if len(self.spelling) and len(out) and (wide := out >= size).any():
+        size = vocabulary.size
+        if len(out) and out.max() >= size:
+            spelling = vocabulary.spelling
+            spelt = np.array([len(s) for s in spelling])
             n = np.ones(len(out), np.int64)
-            spelt = np.array([len(s) for s in self.spelling])
+            wide = out >= size
             n[wide] = spelt[out[wide] - size]
             longer = np.repeat(out, n)
-            starts = np.cumsum(n) - n
-            within = np.arange(len(longer)) - np.repeat(starts, n)
-            flat = np.array([i for s in self.spelling for i in s], np.int32)
-            flat_start = np.cumsum(spelt) - spelt
+            within = np.arange(len(longer)) - np.repeat(np.cumsum(n) - n, n)
+            flat = np.array([i for s in spelling for i in s], np.int32)
             own = longer >= size
-            longer[own] = flat[flat_start[longer[own] - size] + within[own]]
+            longer[own] = flat[(np.cumsum(spelt) - spelt)[longer[own] - size] + within[own]]
             steps = np.add.reduceat(n, ends - steps)
             out = longer
         return out, steps
 
 
+class Encoder:
+    """Encodes batches of texts; keeps the lattices of parts that recur, up to ``most_kept`` of them."""
+
+    def __init__(self, vocabulary: Vocabulary, batch_chars: int = 1 << 20, most_kept: int = 60_000):
+        self.vocabulary, self.batch_chars, self.most_kept = vocabulary, batch_chars, most_kept
+        self.numbers = _Numbers()
+        self.kept = Lattice(vocabulary, [])
+        self.seen: set[str] = set()
+
+    def _sample(self, held: list[tuple[int, int, list[str]]], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        n_kept = len(self.numbers)
+        number = [np.fromiter(map(self.numbers.__getitem__, parts), np.int64, len(parts)) for _, _, parts in held]
+        new = list(self.numbers)[n_kept:]
+        lattice = self.kept.joined(Lattice(self.vocabulary, new))
+        which = np.concatenate(number)
+        n = np.array([len(x) for x in number])
+        lengths = lattice.lengths[which]
+        ends = np.cumsum(lengths)
+        first = np.cumsum(n) - n
+        shift = np.repeat(np.array([at for _, at, _ in held]) - (ends[first] - lengths[first]), n)
+        key = np.repeat(np.array([keys[t] for t, _, _ in held], np.uint64), n)
+        ids, per_part = lattice.sample(self.vocabulary, which, ends - lengths + shift, key)
+        self._keep(new, n_kept)
+        return ids, np.add.reduceat(per_part, first)
+
+    def _keep(self, new: list[str], n_kept: int) -> None:
+        for part in new:
+            del self.numbers[part]
+        if n_kept >= self.most_kept:
+            return
+        again = [p for p in new if p in self.seen and len(p) <= 32][: self.most_kept - n_kept]
+        self.seen.update(new)
+        if len(self.seen) > 5 * self.most_kept:
+            self.seen = set()
+        for part in again:
+            self.numbers[part] = len(self.numbers)
+        self.kept = self.kept.joined(Lattice(self.vocabulary, again))
+
+    def encode(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per text): a space is put before each text, as the library does; none for empty ones."""
+        n_ids = np.zeros(len(texts), np.int64)
+        found: list[np.ndarray] = [np.zeros(0, np.int32)]
+        held: list[tuple[int, int, list[str]]] = []
+        size = 0
+
+        def flush() -> None:
+            ids, per_slice = self._sample(held, keys)
+            np.add.at(n_ids, [t for t, _, _ in held], per_slice)
+            found.append(ids)
+            held.clear()
+
+        for t, text in enumerate(texts):
+            if text:
+                for at, piece in _slices(f" {text}", self.batch_chars):
+                    held.append((t, at, _PART.findall(piece)))
+                    size += len(piece)
+                    if size >= self.batch_chars:
+                        flush()
+                        size = 0
+        if held:
+            flush()
+        return np.concatenate(found), n_ids
+
+
 def _slices(text: str, most: int) -> Iterator[tuple[int, str]]:
     """Cuts between parts, so that a very long text needs little memory at a time."""
     at = 0
@@ -235,45 +323,17 @@ def _slices(text: str, most: int) -> Iterator[tuple[int, str]]:
         yield at, text[at:]
 
 
-def encode_batch(vocabulary: Vocabulary, texts: list[str | None], keys: list[int], batch_chars: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, ids per text): a space is put before each text, as the library does; none for empty ones."""
-    n_ids = np.zeros(len(texts), np.int64)
-    found: list[np.ndarray] = []
-    held: list[tuple[int, int, list[str]]] = []
-    size = 0
-
-    def flush() -> None:
-        numbers = _Numbers()
-        number = [np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts)) for _, _, parts in held]
-        which = np.concatenate(number)
-        lattice = Lattice(vocabulary, list(numbers))
-        n = np.array([len(x) for x in number])
-        lengths = lattice.lengths[which]
-        ends = np.cumsum(lengths)
-        first = np.cumsum(n) - n
-        shift = np.repeat(np.array([at for _, at, _ in held]) - (ends[first] - lengths[first]), n)
-        key = np.repeat(np.array([keys[t] for t, _, _ in held], np.uint64), n)
-        ids, per_part = lattice.sample(which, ends - lengths + shift, key)
-        np.add.at(n_ids, [t for t, _, _ in held], np.add.reduceat(per_part, first))
-        found.append(ids)
-
-    for t, text in enumerate(texts):
-        if text:
-            for at, piece in _slices(f" {text}", batch_chars):
-                held.append((t, at, _PART.findall(piece)))
-                size += len(piece)
-                if size >= batch_chars:
-                    flush()
-                    held, size = [], 0
-    if held:
-        flush()
-    return np.concatenate(found) if found else np.zeros(0, np.int32), n_ids
+def _smaller(batches: Iterator[tuple[pa.Array, ...]], most_rows: int = 512) -> Iterator[tuple[pa.Array, ...]]:
+    """The same rows in shorter batches, as what they become is larger than they are."""
+    for arrays in batches:
+        for at in range(0, len(arrays[0]), most_rows):
+            yield tuple(a.slice(at, most_rows) for a in arrays)
 
 
 @lru_cache(2)
-def _vocabulary(path: str, alpha: float) -> Vocabulary:
+def _encoder(path: str, alpha: float) -> Encoder:
     """Loaded once in a Python worker."""
-    return Vocabulary(path, alpha)
+    return Encoder(Vocabulary(path, alpha))
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", seed: int = 0, alpha: float = 1.0, into: str = "pieces") -> DataFrame:
@@ -289,17 +349,17 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
 
     @F.arrow_udf("array<int>")
     def sampled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        vocabulary = _vocabulary(tokenizer, alpha)
-        for keys, texts in batches:
+        encoder = _encoder(tokenizer, alpha)
+        for keys, texts in _smaller(batches):
             hashed = [xxhash.xxh64_intdigest("" if k is None else k, seed) for k in keys.to_pylist()]
-            ids, n = encode_batch(vocabulary, texts.to_pylist(), hashed)
+            ids, n = encoder.encode(texts.to_pylist(), hashed)
             offsets = np.concatenate([[0], np.cumsum(n)])
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null())
 
     return docs.withColumn(into, sampled(F.col(id_col).cast("string"), F.col(text)))
 
 
-def decode(encoded: DataFrame, tokenizer: str, pieces: str = "pieces", into: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, tokenizer: str, pieces: str = "pieces", into: str = "decoded", alpha: float = 1.0) -> DataFrame:
     """``encoded`` with the text of its piece ids: exactly what was encoded.
 
     A null array gives null, an empty one the empty text; ids that no text
@@ -308,9 +368,10 @@ def decode(encoded: DataFrame, tokenizer: str, pieces: str = "pieces", into: str
 
     @F.arrow_udf("string")
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = _vocabulary(tokenizer, 1.0).bytes
-        for arrays in batches:
+        table = _encoder(tokenizer, alpha).vocabulary.bytes
+        for (arrays,) in _smaller((a,) for a in batches):
             out = []
+            # A slice keeps the whole array's values; its offsets are into these.
             offsets, ids = arrays.offsets.to_pylist(), arrays.values.to_numpy(zero_copy_only=False)
             for a, b, there in zip(offsets, offsets[1:], arrays.is_valid().to_pylist(), strict=False):
                 data = b"".join(map(table.__getitem__, ids[a:b].tolist()))
