@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +44,8 @@ class Plan:
     ``range_tokens``: n-grams of a range; a task holds those of one range.
     """
 
-    block_bytes: int = 8 << 20
-    range_tokens: int = 3_000_000
+    block_bytes: int = 4 << 20
+    range_tokens: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -109,13 +110,21 @@ class _Block:
         return np.repeat(flags, self.lengths)
 
 
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _packed(values: np.ndarray) -> bytes:
-    """Bytes of integers by significance, as those that are all zero vanish in compression."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Integers by byte planes, as many as the largest needs, compressed: the high ones are nearly empty."""
+    n = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T)
+    return bytes([n]) + _PACK.compress(planes.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    planes = np.frombuffer(_UNPACK.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
 
 
 def _requests(n_ranges: int):
