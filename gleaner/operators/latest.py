@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.rules import half_up
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row of each key with the greatest ``order``; keys may be null.
@@ -42,7 +44,7 @@ def change_from_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str
     w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
     top = df.withColumn("_n", F.row_number().over(w)).where("_n <= 2").groupBy(*keys).agg(two.alias("_two"))
     last, before = F.get("_two", 0), F.get("_two", 1)
-    return top.select(*keys, *(last[c].alias(c) for c in order), last[value].alias(value), F.round(last[value] - before[value], 1).alias(into))
+    return top.select(*keys, *(last[c].alias(c) for c in order), last[value].alias(value), half_up(last[value] - before[value], 1).alias(into))
 
 
 def ranked(df: DataFrame, groups: Sequence[str], order: Sequence[Column], into: str = "rank") -> DataFrame:

@@ -139,7 +139,7 @@ def budget_admission(t: Tables) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
-SELECT a.o_custkey, a.o_orderkey, a.o_totalprice, round(a.o_totalprice - b.o_totalprice, 1) AS delta FROM r a LEFT JOIN r b ON a.o_custkey = b.o_custkey AND b.n = 2 WHERE a.n = 1""")
+SELECT a.o_custkey, a.o_orderkey, a.o_totalprice, floor((a.o_totalprice - b.o_totalprice) * 10 + 0.5) / 10 AS delta FROM r a LEFT JOIN r b ON a.o_custkey = b.o_custkey AND b.n = 2 WHERE a.n = 1""")
 def rescore_delta(t: Tables) -> DataFrame:
     rows = t.orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
     return L.change_from_previous(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice").drop("o_orderdate")

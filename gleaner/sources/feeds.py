@@ -86,7 +86,8 @@ def relation(role: Column) -> Column:
 def awards(rows: DataFrame, json: str = "json") -> DataFrame:
     """Awards from a JSON array, or from an object that holds one under ``results``."""
     item = "struct<firm:string,award_amount:string,proposal_award_date:string,state:string,award_title:string>"
-    many = F.coalesce(F.from_json(json, f"array<{item}>"), F.from_json(json, f"struct<results:array<{item}>>")["results"])
+    listed = F.ltrim(json).startswith("[")
+    many = F.when(listed, F.from_json(json, f"array<{item}>")).otherwise(F.from_json(json, f"struct<results:array<{item}>>")["results"])
     out = rows.select(F.explode(many).alias("a")).where("a.firm is not null")
     date = F.when(F.col("a.proposal_award_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.to_date("a.proposal_award_date"))
     return out.select(F.col("a.firm").alias("firm"), number(F.col("a.award_amount")).alias("amount_usd"), date.alias("awarded_on"), F.when(F.col("a.state").rlike("^[A-Za-z]{2}$"), F.upper("a.state")).alias("state"), F.col("a.award_title").alias("title"))
