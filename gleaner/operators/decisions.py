@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import lookup
+from ..functions.rules import half_up, lookup
 
 # How strong each source is; others are third tier.
 SOURCE_TIER = {"sec": 1, "grants": 1, "yc": 1, "funding-news": 2, "investor-news": 2, "producthunt": 2, "upload": 2, "github": 3, "research": 3, "websites": 3}
@@ -151,3 +151,71 @@ def merged_events(events: DataFrame, key: str, at: str, days: int = 21) -> DataF
     folded = distinct.withColumn("_heads", F.aggregate("_days", start, lambda a, d: fold(a, d).cast("array<struct<day:int,head:int>>")))
     heads = folded.select(key, F.explode("_heads").alias("h")).select(key, F.date_from_unix_date("h.day").alias("_day"), F.date_from_unix_date("h.head").alias("head_at"))
     return events.withColumn("_day", F.col(at).cast("date")).join(heads, [key, "_day"]).drop("_day")
+
+
+def operating_confidence(level: Column, identity_confirmed: Column, n_independent: Column, described: Column, excluded: Column, within_year: Column) -> Column:
+    """Confidence that an issuer operates; none for public companies, funds and what isn't a company."""
+    points = F.when(level == "substantive", 0.4).when(identity_confirmed, 0.1).otherwise(0.0) + F.when(described, 0.15).otherwise(0.0) + F.least(F.lit(0.3), n_independent * 0.15) + F.when(within_year, 0.05).otherwise(0.0)
+    return F.when(excluded, 0.0).otherwise(half_up(F.least(F.lit(1.0), points), 2))
+
+
+# Signals that tell a record from others of its sector.
+SUBSTANTIVE_SIGNALS = ("named-customers", "commercial-proof", "enterprise-buyer", "technical-moat", "data-moat", "founder-market-fit")
+
+
+def promising(records: DataFrame, today: Column, terminal: tuple[str, ...] = ("Passed", "Archived"), most_batch_years: int = 3) -> DataFrame:
+    """Records with needs_diligence and eligible (the narrower), from what excludes and what distinguishes them.
+
+    Needs thesis_eligible, n_flags, inactive, duplicate, review_status,
+    provisional, missing_critical array, score, quality_band, signals
+    array<string> and batch_year.
+    """
+    excluded = [
+        ("thesis", ~F.coalesce(F.col("thesis_eligible"), F.lit(True))),
+        ("policy-exception", F.col("n_flags") > 0),
+        ("inactive", F.col("inactive")),
+        ("duplicate", F.col("duplicate")),
+        ("terminal-status", F.coalesce(F.col("review_status").isin(*terminal), F.lit(False))),
+        ("fully-assessed", ~F.col("provisional")),
+        ("nothing-missing", F.size("missing_critical") == 0),
+    ]
+    out = records.withColumn("exclusions", F.array_compact(F.array(*(F.when(c, F.lit(code)) for code, c in excluded)))).withColumn("needs_diligence", F.size("exclusions") == 0)
+    substantive = F.size(F.array_intersect("signals", F.array(*map(F.lit, SUBSTANTIVE_SIGNALS)))) > 0
+    old = F.coalesce(F.year(today) - F.col("batch_year") > most_batch_years, F.lit(False))
+    band = F.coalesce(F.col("quality_band").isin("high", "medium"), F.lit(False))
+    return out.withColumn("eligible", F.col("needs_diligence") & (F.col("score") >= 6.5) & band & substantive & ~old)
+
+
+def import_decision(found: Column, status: Column, duplicate: Column, entity_ok: Column, sector_ok: Column, valid: Column) -> Column:
+    """What becomes of a candidate that is to be imported; the first that applies."""
+    return (
+        F.when(~found, "not-found")
+        .when(status.isin("imported", "rejected", "dismissed"), "terminal")
+        .when(duplicate == "exact", "duplicate")
+        .when(~entity_ok, "not-operating-company")
+        .when(~sector_ok, "outside-sector")
+        .when(~valid, "validation-failed")
+        .otherwise("imported")
+    )
+
+
+def vertical_of(stated: Column, classified: Column, confidence: Column, least: float = 0.5) -> Column:
+    """struct<vertical, reason>: what the source states, else a confident class, else nothing."""
+    sure = classified.isNotNull() & (confidence >= least)
+    return F.struct(
+        F.coalesce(stated, F.when(sure, classified)).alias("vertical"),
+        F.when(stated.isNotNull(), "source").when(sure, "classifier").when(classified.isNotNull(), "low-confidence").otherwise("no-signal").alias("reason"),
+    )
+
+
+def traction_review_errors(scores: Column, url: Column, note: Column, metric: Column, confirmed: Column, customer: Column) -> Column:
+    """What is missing from a review: scoring states, figures, confirmations and names need their source."""
+    has_url, has_note = F.coalesce(url, F.lit("")) != "", F.length(F.trim(F.coalesce(note, F.lit("")))) >= 10
+    return F.array_compact(
+        F.array(
+            F.when(scores & ~has_url & ~has_note, F.lit("state-needs-source-or-note")),
+            F.when(metric.isNotNull() & ~has_url, F.lit("figure-needs-source")),
+            F.when(confirmed & ~has_url, F.lit("confirmation-needs-source")),
+            F.when(customer.isNotNull() & ~has_url & ~has_note, F.lit("customer-needs-source-or-note")),
+        )
+    )

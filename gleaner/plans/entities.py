@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.entities import NON_COMPANY, entity_problem
 from ..functions.names import name_tokens
 from ..functions.urls import domain_key, host
 from ..operators import decisions as X
@@ -325,3 +326,39 @@ def next_actions(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     status = F.when(k % 9 == 0, "Passed").when(k % 5 == 0, "new").otherwise("Monitor")
     return t.customer.select("c_custkey", X.next_action(status, F.when(k % 8 == 0, 1).otherwise(0), F.col("c_acctbal") < 0, k % 4 == 0, F.col("c_acctbal") / 1000).alias("action"))
+
+
+def _entity_cases() -> str:
+    return "CASE WHEN regexp_matches(name, '[’'']s\\s+[a-z]') THEN 'person-possessive' " + " ".join(f"WHEN regexp_matches(name, '{p}') THEN '{label}'" for label, p in NON_COMPANY) + " END"
+
+
+@query(f"""WITH n AS (SELECT s_suppkey, s_name || CASE s_suppkey % 9 WHEN 0 THEN ' Fund II' WHEN 1 THEN ' Partners, L.P.' WHEN 2 THEN ' University' WHEN 3 THEN '''s logistics startup' WHEN 4 THEN ' Institute of Things' WHEN 5 THEN ', a series of X' WHEN 6 THEN ' Academy' ELSE ' Labs' END AS name FROM supplier)
+SELECT s_suppkey, {_entity_cases()} AS problem FROM n""")
+def entity_types(t: Tables) -> DataFrame:
+    """Names that aren't those of operating companies."""
+    k = F.col("s_suppkey") % 9
+    tail = F.when(k == 0, " Fund II").when(k == 1, " Partners, L.P.").when(k == 2, " University").when(k == 3, "'s logistics startup").when(k == 4, " Institute of Things").when(k == 5, ", a series of X").when(k == 6, " Academy").otherwise(" Labs")
+    return t.supplier.select("s_suppkey", entity_problem(F.concat("s_name", tail)).alias("problem"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 0 ELSE floor(least(1.0::DOUBLE, CASE WHEN c_custkey % 3 = 0 THEN 0.4 WHEN c_custkey % 2 = 0 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN c_custkey % 5 = 0 THEN 0.15 ELSE 0 END::DOUBLE + least(0.3::DOUBLE, (c_custkey % 4) * 0.15::DOUBLE) + CASE WHEN c_custkey % 7 = 0 THEN 0.05 ELSE 0 END::DOUBLE) * 100 + 0.5) / 100 END AS confidence,
+CASE WHEN c_custkey % 13 = 0 THEN 'terminal' WHEN c_custkey % 6 = 0 THEN 'duplicate' WHEN c_custkey % 5 = 0 THEN 'not-operating-company' WHEN c_custkey % 4 = 0 THEN 'outside-sector' WHEN c_acctbal < 0 THEN 'validation-failed' ELSE 'imported' END AS decision,
+CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 2 = 0 THEN 'guess' END AS vertical, CASE WHEN c_custkey % 3 = 0 THEN 'source' WHEN c_custkey % 2 = 0 THEN 'classifier' ELSE 'low-confidence' END AS reason FROM customer""")
+def import_decisions(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    every = lambda n: k % n == 0
+    level = F.when(every(3), "substantive").otherwise("thin")
+    vertical = X.vertical_of(F.when(every(3), F.col("c_mktsegment")), F.lit("guess"), F.when(every(2), 0.8).otherwise(0.2))
+    decision = X.import_decision(F.lit(True), F.when(every(13), "imported").otherwise("pending"), F.when(every(6), "exact").otherwise("none"), ~every(5), ~every(4), F.col("c_acctbal") >= 0)
+    return t.customer.select("c_custkey", X.operating_confidence(level, every(2), k % 4, every(5), every(11), every(7)).alias("confidence"), decision.alias("decision"), vertical["vertical"].alias("vertical"), vertical["reason"].alias("reason"))
+
+
+@query("""SELECT c_custkey, NOT (c_custkey % 7 = 0) AND NOT (c_custkey % 5 = 0) AS needs_diligence, NOT (c_custkey % 7 = 0) AND NOT (c_custkey % 5 = 0) AND c_acctbal / 1000 >= 6.5 AND c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AS eligible FROM customer""")
+def promising_queue(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = t.customer.select(
+        "c_custkey", F.lit(True).alias("thesis_eligible"), F.when(k % 7 == 0, 1).otherwise(0).alias("n_flags"), F.lit(False).alias("inactive"), F.lit(False).alias("duplicate"),
+        F.lit(None).cast("string").alias("review_status"), (k % 5 != 0).alias("provisional"), F.array(F.lit("traction")).alias("missing_critical"), (F.col("c_acctbal") / 1000).alias("score"),
+        F.when(k % 2 == 0, "high").alias("quality_band"), F.array(F.lit("data-moat")).alias("signals"), F.when(k % 3 == 0, 1990).otherwise(2000).alias("batch_year"),
+    )
+    return X.promising(rows, _today()).select("c_custkey", "needs_diligence", "eligible")

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions import classify, dates, money, names, urls
+from gleaner.functions import classify, dates, entities, money, names, urls
 from gleaner.operators import decisions, latest, matching, upserts
 from gleaner.operators.aggregates import independent_sources
 from gleaner.sources import feeds, writers
@@ -132,6 +132,21 @@ def test_anchored_merge_and_classes(spark):
     assert classes == {1: "recent-financing-signal", 2: "unverified-opportunity", 3: "company-lead", 4: "company-lead"}
 
 
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [("Acme Fund III, L.P.", "numbered fund"), ("Acme Robotics, Inc.", None), ("Solar 12 LLC", "single-project vehicle"), ("Solar LLC", None), ("", "no-name")],
+)
+def test_issuers(spark, name, want):
+    assert one(spark, entities.issuer_problem(F.col("s"), F.lit(False)), s=name) == want
+
+
+def test_quotes_and_reviews(spark):
+    say = lambda s: one(spark, entities.traction_state(F.col("s")), s=s)
+    assert (say("We have 40 paying customers"), say("Our ARR doubled"), say("GMV is up"), say("a paid pilot"), say("nothing")) == ("multiple-deployments", "recurring-revenue", None, "paid-pilot", None)
+    errors = one(spark, decisions.traction_review_errors(F.lit(True), F.col("u"), F.col("n"), F.lit("5M"), F.lit(True), F.lit(None)), u="", n="a longer note")
+    assert errors == ["figure-needs-source", "confirmation-needs-source"]
+
+
 def test_independent_sources(spark):
     long = "x" * 40
     items = [("a", long), ("a", "other"), ("b", long), ("c", "")]
