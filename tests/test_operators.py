@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions import classify, dates, entities, money, names, urls
+from gleaner.functions import classify, dates, entities, money, names, quality, urls
 from gleaner.operators import decisions, latest, matching, upserts
 from gleaner.operators.aggregates import independent_sources
 from gleaner.sources import feeds, writers
@@ -147,6 +147,15 @@ def test_quotes_and_reviews(spark):
     assert errors == ["figure-needs-source", "confirmation-needs-source"]
 
 
+def test_quality_priority(spark):
+    say = [("It is trusted by Acme. Reportedly revolutionizing all.", False), ("We have 40 paying customers and a PhD", True)]
+    df = spark.createDataFrame([(say, 10, 2), ([], None, 0)], "s array<struct<text:string,claimed:boolean>>, age int, n int")
+    got = df.select(quality.quality(F.col("s"), F.col("age"), F.col("n")).alias("q")).select("q.*").collect()
+    # 25 + 14 + half_up(14 * 0.6) + half_up(9 * 0.6) - 6 - 6 + 7 + 6
+    assert (got[0]["priority"], got[0]["band"]) == (25 + 14 + 8 + 5 - 6 - 6 + 7 + 6, "medium")
+    assert (got[1]["priority"], got[1]["band"], got[1]["signals"]) == (17, "low", ["no-buyer"])
+
+
 def test_independent_sources(spark):
     long = "x" * 40
     items = [("a", long), ("a", "other"), ("b", long), ("c", "")]
