@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import classify, dates, entities, money, names, quality, urls
-from gleaner.operators import decisions, latest, matching, upserts
+from gleaner.operators import decisions, filters, latest, matching, upserts
 from gleaner.operators.aggregates import independent_sources
 from gleaner.sources import feeds, writers
 from gleaner.streaming import events
@@ -226,3 +226,21 @@ def test_streams_equal_batches(spark, tmp_path):
     once = events.once_per_key(events.landed(spark, str(tmp_path / "in"), src.schema), "id", "ts").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     once.awaitTermination(120)
     assert spark.sql("select * from once").count() == 200
+
+
+def test_edges_portfolio_and_filters(spark):
+    edges = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (3, "c", "d"), (4, "a", "a")], "edge_id int, from_id string, to_id string")
+    assert sorted(r["edge_id"] for r in matching.edges_of(edges, spark.createDataFrame([("a",), ("c",)], "node string")).collect()) == [1, 2, 3, 4]
+    records = spark.createDataFrame([(1, "fin", "payment rails for banks"), (2, "fin", "soil"), (3, "bio", "payment")], "id int, vertical string, about string")
+    ours = spark.createDataFrame([("fin", "banks and payment")], "vertical string, themes string")
+    assert {r["id"] for r in matching.portfolio_overlap(records, ours, "vertical", "themes", "about").collect()} == {1}
+    kept = records.where(filters.all_of(F.col("vertical") == "fin", None, filters.has_text(" SOIL ", "about")))
+    assert [r["id"] for r in kept.collect()] == [2]
+    said = records.select(filters.published_text(["vertical", "about"], []).alias("t")).first()["t"]
+    assert said == "fin \n payment rails for banks"
+
+
+def test_audit_view_and_market_days(spark):
+    log = spark.createDataFrame([(i, f"entry {i} token=abc{i}") for i in range(600)], "at int, text string")
+    rows = writers.audit_view(log, "at", "text").collect()
+    assert len(rows) == 500 and rows[0]["at"] == 599 and all("[redacted]" in r["text"] for r in rows)
