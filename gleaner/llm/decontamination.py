@@ -156,8 +156,8 @@ class Index:
         key = np.concatenate([window, window]) * np.int64(1 << 40) + wide
         keys, inverse = np.unique(key, return_inverse=True)
         # A q-gram that recurs within a band is one shared place of the text.
-        pair = np.unique(inverse * np.int64(1 << 40) + np.concatenate([at, at]))
-        counts = np.bincount(pair >> 40, minlength=len(keys))
+        pair = np.unique(inverse * np.int64(1 << 32) + np.concatenate([at, at]))
+        counts = np.bincount(pair >> 32, minlength=len(keys))
         w = keys >> 40
         good = np.flatnonzero(counts >= self.needed[w])
         if not len(good):
