@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.entities import NON_COMPANY, entity_problem
-from ..functions.names import name_tokens
-from ..functions.urls import domain_key, host
+from ..functions.names import claim_fingerprint, name_tokens
+from ..functions.urls import domain_key, host, readable_text
 from ..operators import decisions as X
 from ..operators import matching as M
 from ..operators import scoring as S
@@ -303,10 +303,13 @@ def anchored_events(t: Tables) -> DataFrame:
 
 @query()
 def independent_hosts(t: Tables) -> DataFrame:
-    """How many pages of a site's language tell something new, in order of page."""
-    rows = t.pages.select("page_id", host(F.col("url")).alias("host"), F.md5(F.substring("html", 1, 200).cast("binary")).alias("fingerprint"), F.regexp_extract("html", 'lang="(\\w+)"', 1).alias("lang"), (F.col("page_id") % 50).alias("g"))
-    listed = rows.groupBy("lang", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "host", "fingerprint"))), lambda x: x.dropFields("page_id")).alias("e"))
-    return listed.select("lang", "g", independent_sources(F.col("e")).alias("n_independent"))
+    """How many pages of each language tell something new, in order of page."""
+    rows = t.pages.select("page_id", host(F.col("url")).alias("host"), claim_fingerprint(readable_text(F.col("html"))).alias("fingerprint"), F.regexp_extract("html", 'lang="(\\w+)"', 1).alias("lang"))
+    # Only the first page of a host and fingerprint can count; without either, every page does.
+    alone = F.when(F.col("host").isNull() & (F.col("fingerprint") == ""), F.col("page_id"))
+    firsts = rows.groupBy("lang", "host", "fingerprint", alone.alias("alone")).agg(F.min("page_id").alias("page_id"))
+    listed = firsts.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "host", "fingerprint"))), lambda x: x.dropFields("page_id")).alias("e"))
+    return listed.select("lang", independent_sources(F.col("e")).alias("n_independent"))
 
 
 @query("""SELECT user_id, list_aggregate(list_sort(list_distinct(list(event_type))), 'string_agg', ',') AS seen, CASE WHEN list_contains(list(event_type), 'error') THEN 'has-error' ELSE 'clean' END AS state FROM events GROUP BY 1""")

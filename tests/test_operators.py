@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import classify, dates, entities, money, names, quality, urls
 from gleaner.operators import decisions, filters, latest, matching, upserts
 from gleaner.operators.aggregates import independent_sources
+from gleaner.plans import QUERIES
 from gleaner.sources import feeds, writers
 from gleaner.streaming import events
 
@@ -244,3 +245,11 @@ def test_audit_view_and_market_days(spark):
     log = spark.createDataFrame([(i, f"entry {i} token=abc{i}") for i in range(600)], "at int, text string")
     rows = writers.audit_view(log, "at", "text").collect()
     assert len(rows) == 500 and rows[0]["at"] == 599 and all("[redacted]" in r["text"] for r in rows)
+
+
+def test_independent_hosts_by_whole_pages(spark, tmp_path):
+    head = '<html lang="en"><head>' + '<meta name="generator" content="one template">' * 6 + "</head><body>"
+    body = lambda x: f"{head}<p>{x} and so on, in words enough to be told apart</p></body></html>"
+    rows = [(1, "https://a.com/1", body("one story")), (2, "https://b.com/2", body("another story")), (3, "https://c.com/3", body("one story")), (53, "https://a.com/4", body("a third story")), (4, "no url", head), (5, "no url", head)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in QUERIES["independent_hosts"](spark, str(tmp_path)).collect()] == [("en", 4)]
