@@ -31,15 +31,17 @@ class Limits:
 
     ``rate``: edits a window may hold, as a share of its characters.
     ``window`` and ``step``: how items are cut; shorter items are one window,
-    and the last window ends with the item. ``least_chars``: items that are
-    shorter, when normalised, are too common to tell anything and not sought.
+    and the last window ends with the item, so any excerpt of ``window`` +
+    ``step`` - 1 characters holds a whole one. ``least_chars``: items that are
+    shorter, when normalised, are sought without edits and between word bounds
+    only; those under Q characters have no q-gram and are not sought.
     ``slice_chars``: characters of the benchmark that a task holds at once; a
     larger benchmark is sought slice by slice.
     """
 
     rate: float = 0.1
-    window: int = 128
-    step: int = 64
+    window: int = 64
+    step: int = 16
     least_chars: int = 40
     slice_chars: int = 4_000_000
 
@@ -47,9 +49,6 @@ class Limits:
         """Fewer where the bound would otherwise ask for no q-gram at all."""
         return max(0, min(int(self.rate * n), n // Q - 2))
 
-    def shared(self, n: int) -> int:
-        return n + 1 - Q * (self.edits(n) + 1)
-
 
 def _lowered(text: str) -> str:
     low = text.lower()
@@ -94,7 +93,7 @@ class Index:
         grams, owner, place = [], [], []
         for item, text in items:
             codes, at = normalised(text or "")
-            if len(codes) < limits.least_chars:
+            if len(codes) < Q:
                 continue
             last = max(0, len(codes) - limits.window)
             for a in sorted({*range(0, last, limits.step), last}):
@@ -114,8 +113,9 @@ class Index:
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self._slot(self.grams)] = True
         n = np.array([len(w[2]) for w in self.windows] or [0])
-        self.edits = np.array([limits.edits(x) for x in n.tolist()])
-        self.needed = np.array([limits.shared(x) for x in n.tolist()])
+        self.short = n < limits.least_chars
+        self.edits = np.where(self.short, 0, [limits.edits(x) for x in n.tolist()])
+        self.needed = n + 1 - Q * (self.edits + 1)
 
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -193,6 +193,13 @@ def align(patterns: np.ndarray, stretches: np.ndarray, width: int) -> tuple[np.n
     return best >> 24, best & (one - 1), k + n
 
 
+def _stands(codes: np.ndarray, a: int, pattern: np.ndarray) -> bool:
+    """Whether the pattern is at a, with no letter or digit before or after it."""
+    b = a + len(pattern)
+    ends = [int(codes[i]) for i in (a - 1, b) if 0 <= i < len(codes)]
+    return np.array_equal(codes[a:b], pattern) and not any(chr(c).isalnum() for c in ends)
+
+
 Hit = tuple[int, int, int, int, int]
 _OUTSIDE = np.uint32(0xFFFFFFFF)
 
@@ -221,6 +228,11 @@ def find(index: Index, texts: list[str | None], most_jobs: int = 2048) -> list[l
         for w, low, high in regions:
             low, high = low - 1, high + 1
             n, width = len(index.windows[w][2]), high - low + 1
+            if index.short[w]:
+                for a in range(max(low, 0), min(high, len(codes) - n) + 1):
+                    if _stands(codes, a, index.windows[w][2]):
+                        _keep(found[t], w, n, (0, a, a + n))
+                continue
             # What lies outside the text equals nothing: to meet it costs what leaving the character out costs.
             part = np.full(n + width - 1, _OUTSIDE, np.uint32)
             a, b = max(0, low), min(len(codes), low + len(part))

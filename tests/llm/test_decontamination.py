@@ -79,3 +79,11 @@ def test_empty_tables(spark):
     assert contaminations(docs, none).collect() == []
     assert contaminations(docs.limit(0), none).collect() == []
     assert without_contamination(docs, none).count() == 1
+
+
+def test_excerpts_and_short_items_are_found():
+    item = _prose(60)
+    index = Index([(1, item), (2, "Who wrote it?"), (3, "tiny")], Limits())
+    assert all({h[0] for h in find(index, [f"{_prose(20)} {item[a : a + 79]} {_prose(20)}"])[0]} == {1} for a in range(0, len(item) - 79, 7))
+    assert [h[0] for h in find(index, ["So: who  wrote IT? Nobody."])[0]] == [2]
+    assert find(index, ["mywho wrote it? tiny", "who wrote its?", None]) == [[], [], []]
