@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session has none (tests on one machine) a temporary one is set.
+    A session without one that runs on one machine gets a temporary one; on a
+    cluster this is an error, as no folder of one machine would do.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = os.path.join(tempfile.gettempdir(), "gleaner-shared")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -79,6 +83,21 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def join_with_hot_keys(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, which has one row for each key and tells in ``n`` how many rows have it.
+
+    A key with over a thousandth of the ``total`` rows would fill one task;
+    there are at most ``share`` such keys, so these are broadcast and the
+    rest is shuffled. Both sides are written tables, as each is read twice.
+    """
+    least = max(total // share, 1000)
+    hot = F.broadcast(per_key.where(F.col(n) > least).limit(share))
+    if not hot.limit(1).count():
+        return rows.join(broadcast_if_small(per_key), key)
+    cold = rows.join(hot.select(key), key, "left_anti").join(broadcast_if_small(per_key.where(F.col(n) <= least)), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
