@@ -13,9 +13,11 @@ of a batch is filtered once; every occurrence is sampled on its own.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +127,14 @@ class Vocabulary:
         return out
 
 
+def _codes(text: str) -> np.ndarray:
+    """Code points as pieces have them: the block character for a space."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    codes[codes == _BLOCK] = _LITERAL
+    codes[codes == _SPACE] = _BLOCK
+    return codes
+
+
 class _Numbers(dict):
     """Parts by order of appearance."""
 
@@ -142,8 +152,6 @@ class Lattice:
     the state's ways up to this arc.
     """
 
-    FIELDS = ("base", "lengths", "first", "upto", "piece", "back")
-
     def __init__(self, vocabulary: Vocabulary, parts: list[str]):
         # Longest first, so that those with an e-th character come first for every e.
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -153,9 +161,7 @@ class Lattice:
         starts = np.cumsum(sorted_lengths) - sorted_lengths
         self.base = np.empty(len(parts), np.int64)
         self.base[order] = starts
-        codes = np.frombuffer("".join([parts[i] for i in order.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-        codes[codes == _BLOCK] = _LITERAL
-        codes[codes == _SPACE] = _BLOCK
+        codes = _codes("".join([parts[i] for i in order.tolist()]))
         room = np.arange(len(codes)) - np.repeat(starts, sorted_lengths) + 1
         found = vocabulary.arcs(codes, room)
         bare = np.flatnonzero(found[:, 0] < 0)
@@ -193,15 +199,6 @@ class Lattice:
         share[first + n_arcs - 1] = 1.0
         self.first, self.upto = first, share
 
-    def joined(self, other: Lattice) -> Lattice:
-        """Both; the other's parts follow this one's."""
-        out = object.__new__(Lattice)
-        for name in self.FIELDS:
-            shift = {"base": len(self.first), "first": len(self.piece)}.get(name, 0)
-            own, more = getattr(self, name), getattr(other, name)
-            setattr(out, name, np.concatenate([own, more + shift if shift else more]))
-        return out
-
     def sample(self, vocabulary: Vocabulary, which: np.ndarray, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per occurrence) for occurrences of parts.
 
@@ -246,43 +243,128 @@ class Lattice:
         return out, steps
 
 
+class _Store(Lattice):
+    """Lattices one after another in arrays that grow by half; the end can be cut off again."""
+
+    #: By field: whether it has an entry for each part, state or arc, and which of these its values count.
+    FIELDS = {"base": (0, 1), "lengths": (0, None), "first": (1, 2), "upto": (2, None), "piece": (2, None), "back": (2, None)}
+
+    def __init__(self, vocabulary: Vocabulary):
+        one = Lattice(vocabulary, [])
+        for name in self.FIELDS:
+            setattr(self, name, getattr(one, name))
+        self.sizes = [0, 0, 0]
+
+    def push(self, more: Lattice) -> None:
+        added = [len(more.base), len(more.first), len(more.piece)]
+        for name, (unit, counted) in self.FIELDS.items():
+            own, new, n = getattr(self, name), getattr(more, name), self.sizes[unit]
+            if n + len(new) > len(own):
+                wider = np.empty(n + len(new) + n // 2, own.dtype)
+                wider[:n] = own[:n]
+                setattr(self, name, own := wider)
+            own[n : n + len(new)] = new if counted is None else new + self.sizes[counted]
+        self.sizes = [x + y for x, y in zip(self.sizes, added, strict=True)]
+
+
 class Encoder:
-    """Encodes batches of texts; keeps the lattices of parts that recur, up to ``most_kept`` of them."""
+    """Encodes batches of texts in bounded memory.
 
-    def __init__(self, vocabulary: Vocabulary, batch_chars: int = 1 << 20, most_kept: int = 60_000):
-        self.vocabulary, self.batch_chars, self.most_kept = vocabulary, batch_chars, most_kept
+    ``batch_chars``: characters whose lattices are held at once.
+    ``most_arcs``: arcs of the lattices that are kept for parts that recur,
+    at about 25 bytes each. ``window``: longer parts are filtered and sampled
+    stretch by stretch; of these only a number for each character is held.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, batch_chars: int = 1 << 17, most_arcs: int = 1 << 21, window: int = 2048):
+        self.vocabulary, self.batch_chars, self.most_arcs, self.window = vocabulary, batch_chars, most_arcs, window
         self.numbers = _Numbers()
-        self.kept = Lattice(vocabulary, [])
-        self.seen: set[str] = set()
+        self.kept = _Store(vocabulary)
+        #: Marks of the parts that were met before, by hash; a wrong mark only keeps a lattice too early.
+        self.seen = np.zeros(1 << 20, bool)
 
     def _sample(self, held: list[tuple[int, int, list[str]]], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        n_kept = len(self.numbers)
+        n_kept, before = len(self.numbers), list(self.kept.sizes)
         number = [np.fromiter(map(self.numbers.__getitem__, parts), np.int64, len(parts)) for _, _, parts in held]
-        new = list(self.numbers)[n_kept:]
-        lattice = self.kept.joined(Lattice(self.vocabulary, new))
+        new = list(islice(self.numbers, n_kept, None))
+        self.kept.push(Lattice(self.vocabulary, new))
         which = np.concatenate(number)
         n = np.array([len(x) for x in number])
-        lengths = lattice.lengths[which]
+        lengths = self.kept.lengths[which]
         ends = np.cumsum(lengths)
         first = np.cumsum(n) - n
         shift = np.repeat(np.array([at for _, at, _ in held]) - (ends[first] - lengths[first]), n)
         key = np.repeat(np.array([keys[t] for t, _, _ in held], np.uint64), n)
-        ids, per_part = lattice.sample(self.vocabulary, which, ends - lengths + shift, key)
-        self._keep(new, n_kept)
+        ids, per_part = self.kept.sample(self.vocabulary, which, ends - lengths + shift, key)
+        self.kept.sizes = before
+        self._keep(new)
         return ids, np.add.reduceat(per_part, first)
 
-    def _keep(self, new: list[str], n_kept: int) -> None:
+    def _keep(self, new: list[str]) -> None:
         for part in new:
             del self.numbers[part]
-        if n_kept >= self.most_kept:
+        if self.kept.sizes[2] >= self.most_arcs:
             return
-        again = [p for p in new if p in self.seen and len(p) <= 32][: self.most_kept - n_kept]
-        self.seen.update(new)
-        if len(self.seen) > 5 * self.most_kept:
-            self.seen = set()
+        short = [p for p in new if len(p) <= 32]
+        marks = np.fromiter(map(hash, short), np.int64, len(short)) & (len(self.seen) - 1)
+        again = [p for p, met in zip(short, self.seen[marks].tolist(), strict=True) if met]
+        self.seen[marks] = True
         for part in again:
             self.numbers[part] = len(self.numbers)
-        self.kept = self.kept.joined(Lattice(self.vocabulary, again))
+        self.kept.push(Lattice(self.vocabulary, again))
+
+    def _arcs(self, codes: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Ids of the pieces that end at characters a to b of one part, by length; -1 where there is none."""
+        low = max(0, a - self.vocabulary.longest + 1)
+        found = self.vocabulary.arcs(codes[low:b], np.arange(1, b - low + 1))[a - low :]
+        bare = np.flatnonzero(found[:, 0] < 0)
+        if len(bare):
+            odd, which = np.unique(codes[a:b][bare], return_inverse=True)
+            found[bare, 0] = np.array([self.vocabulary.spelt(c) for c in odd.tolist()])[which]
+        return found
+
+    def _sample_long(self, part: str, place: int, key: int, stretch: int = 1 << 14) -> np.ndarray:
+        """Ids of one long part, by the same draws as in a lattice."""
+        codes = _codes(part)
+        # upto[i]: log weight of all ways to the first i characters.
+        upto = np.zeros(len(codes) + 1)
+        for a in range(0, len(codes), stretch):
+            b = min(a + stretch, len(codes))
+            found = self._arcs(codes, a, b)
+            state, length = np.nonzero(found >= 0)
+            w = np.exp(self.vocabulary.weight[found[state, length]]).tolist()
+            back, stops = (length + 1).tolist(), np.searchsorted(state, np.arange(b - a), side="right").tolist()
+            # Weights of the last few states over that of the first of them, so that none gets too small.
+            low = max(0, a - self.vocabulary.longest)
+            ways, base, k = np.exp(upto[low : a + 1] - upto[a]).tolist(), float(upto[a]), 0
+            for i, stop in enumerate(stops):
+                n, s = len(ways), 0.0
+                while k < stop:
+                    s += w[k] * ways[n - back[k]]
+                    k += 1
+                if s < 1e-200:
+                    ways = [x / s for x in ways[-self.vocabulary.longest :]]
+                    base, s = base + math.log(s), 1.0
+                ways.append(s)
+                upto[a + i + 1] = base + math.log(s)
+        out, at = [], len(codes)
+        for a in range((len(codes) - 1) // stretch * stretch, -1, -stretch):
+            b = min(a + stretch, len(codes))
+            found = self._arcs(codes, a, b)
+            there = found >= 0
+            state = np.arange(a + 1, b + 1)[:, None]
+            before = np.maximum(state - np.arange(1, found.shape[1] + 1), 0)
+            share = np.where(there, np.exp(np.where(there, self.vocabulary.weight[found], -np.inf) + upto[before] - upto[state]), 0.0)
+            # Beyond the last arc there is nothing to draw.
+            share = np.where(np.cumsum(there[:, ::-1], axis=1)[:, ::-1] <= 1, np.where(there, 2.0, 0.0), share)
+            draws = (_mix(np.uint64(key) + (np.arange(a + 1, b + 1) + place).astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(11)) * 2.0**-53
+            picked = np.argmax(np.cumsum(share, axis=1) > draws[:, None], axis=1)
+            ids, picked = found[np.arange(b - a), picked].tolist(), picked.tolist()
+            while at > a:
+                out.append(ids[at - a - 1])
+                at -= picked[at - a - 1] + 1
+        spelling, size = self.vocabulary.spelling, self.vocabulary.size
+        return np.array([y for x in reversed(out) for y in ((x,) if x < size else spelling[x - size])], np.int32)
 
     def encode(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text): a space is put before each text, as the library does; none for empty ones."""
@@ -292,24 +374,41 @@ class Encoder:
         size = 0
 
         def flush() -> None:
-            ids, per_slice = self._sample(held, keys)
-            np.add.at(n_ids, [t for t, _, _ in held], per_slice)
-            found.append(ids)
-            held.clear()
+            if held:
+                ids, per_slice = self._sample(held, keys)
+                np.add.at(n_ids, [t for t, _, _ in held], per_slice)
+                found.append(ids)
+                held.clear()
 
         for t, text in enumerate(texts):
             if text:
                 for at, piece in _slices(f" {text}", self.batch_chars):
-                    held.append((t, at, _PART.findall(piece)))
+                    for long, place, parts in _runs(_PART.findall(piece), at, self.window):
+                        if long:
+                            flush()
+                            found.append(self._sample_long(parts[0], place, keys[t]))
+                            n_ids[t] += len(found[-1])
+                        else:
+                            held.append((t, place, parts))
                     size += len(piece)
                     if size >= self.batch_chars:
                         flush()
                         size = 0
-        if held:
-            flush()
+        flush()
         return np.concatenate(found), n_ids
 
 
+def _runs(parts: list[str], at: int, window: int) -> Iterator[tuple[bool, int, list[str]]]:
+    """(is one long part, place, parts) in order."""
+    if max(map(len, parts)) <= window:
+        yield False, at, parts
+        return
+    for long, some in groupby(parts, lambda p: len(p) > window):
+        for run in ([p] for p in some) if long else (list(some),):
+            yield long, at, run
+            at += sum(map(len, run))
+
+
 def _slices(text: str, most: int) -> Iterator[tuple[int, str]]:
     """Cuts between parts, so that a very long text needs little memory at a time."""
     at = 0
@@ -336,57 +435,94 @@ def _encoder(path: str, alpha: float) -> Encoder:
     return Encoder(Vocabulary(path, alpha))
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", seed: int = 0, alpha: float = 1.0, into: str = "pieces") -> DataFrame:
+def _sampled(encoder: Encoder, keys: pa.Array, texts: pa.Array, seed: int) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+    """(pieces, their ids, where each text's begin and end)."""
+    hashed = [xxhash.xxh64_intdigest("" if k is None else k, seed) for k in keys.to_pylist()]
+    ids, n = encoder.encode(texts.to_pylist(), hashed)
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null()), ids, offsets
+
+
+def _spelt_out(table: list[bytes], ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+    """The texts of ids, without the space that encoding put before them."""
+    each = list(map(table.__getitem__, ids.tolist()))
+    return [b"".join(each[a:b]).removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", seed: int = 0, alpha: float = 1.0, into: str = "pieces", check: str | None = None) -> DataFrame:
     """``docs`` with an array of sampled piece ids.
 
     Equal keys, texts and seeds give equal arrays, wherever they run. A null
     text has a null array, an empty one an empty array; a null key is a key
-    like any other, and repeated rows get the same ids. ``alpha`` above 1
-    favours frequent pieces more, 0 makes all pieces equal.
+    like any other, and repeated rows get the same ids. A very long text is
+    sampled slice by slice, one without any space stretch by stretch, to the
+    same effect. ``alpha`` above 1 favours frequent pieces more, 0 makes all
+    pieces equal. Other columns stay; one named as ``into`` is an error.
+    With ``check`` there is a column of that name too, which tells whether
+    the pieces, decoded in the same task, give the text again; null is its
+    own decoding.
     """
-    if into in docs.columns:
-        raise ValueError(f"column {into!r} exists")
+    clash = {x.lower() for x in (into, check) if x} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} exist")
+
+    if check is None:
+
+        @F.arrow_udf("array<int>")
+        def sampled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            encoder = _encoder(tokenizer, alpha)
+            for keys, texts in _smaller(batches):
+                yield _sampled(encoder, keys, texts, seed)[0]
+
+        return docs.withColumn(into, sampled(F.col(id_col).cast("string"), F.col(text)))
 
-    @F.arrow_udf("array<int>")
-    def sampled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    @F.arrow_udf("pieces array<int>, same boolean")
+    def checked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         encoder = _encoder(tokenizer, alpha)
         for keys, texts in _smaller(batches):
-            hashed = [xxhash.xxh64_intdigest("" if k is None else k, seed) for k in keys.to_pylist()]
-            ids, n = encoder.encode(texts.to_pylist(), hashed)
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null())
+            pieces, ids, offsets = _sampled(encoder, keys, texts, seed)
+            same = [a == (b or "") for a, b in zip(_spelt_out(encoder.vocabulary.bytes, ids, offsets), texts.to_pylist(), strict=True)]
+            yield pa.StructArray.from_arrays([pieces, pa.array(same, pa.bool_())], names=["pieces", "same"])
 
-    return docs.withColumn(into, sampled(F.col(id_col).cast("string"), F.col(text)))
+    both = fresh(docs, "checked")
+    out = docs.withColumn(both, checked(F.col(id_col).cast("string"), F.col(text)))
+    return out.withColumns({into: F.col(f"{both}.pieces"), check: F.col(f"{both}.same")}).drop(both)
 
 
 def decode(encoded: DataFrame, tokenizer: str, pieces: str = "pieces", into: str = "decoded", alpha: float = 1.0) -> DataFrame:
     """``encoded`` with the text of its piece ids: exactly what was encoded.
 
     A null array gives null, an empty one the empty text; ids that no text
-    has, such as control pieces, stand for nothing.
+    has, such as control pieces, stand for nothing. Rows are decoded one by
+    one, so repeats and other columns stay as they are; one named as ``into``
+    is an error.
     """
+    if into.lower() in {c.lower() for c in encoded.columns}:
+        raise ValueError(f"column {into!r} exists")
 
     @F.arrow_udf("string")
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = _encoder(tokenizer, alpha).vocabulary.bytes
         for (arrays,) in _smaller((a,) for a in batches):
-            out = []
             # A slice keeps the whole array's values; its offsets are into these.
-            offsets, ids = arrays.offsets.to_pylist(), arrays.values.to_numpy(zero_copy_only=False)
-            for a, b, there in zip(offsets, offsets[1:], arrays.is_valid().to_pylist(), strict=False):
-                data = b"".join(map(table.__getitem__, ids[a:b].tolist()))
-                out.append(data.removeprefix(b" ").decode("utf-8", "replace") if there else None)
-            yield pa.array(out, pa.string())
+            offsets = arrays.offsets.to_numpy()
+            ids = arrays.values[offsets[0] : offsets[-1]].to_numpy(zero_copy_only=False)
+            texts = _spelt_out(table, ids, offsets - offsets[0])
+            yield pa.array([t if there else None for t, there in zip(texts, arrays.is_valid().to_pylist(), strict=True)], pa.string())
 
     return encoded.withColumn(into, joined(F.col(pieces)))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, pieces, lossless) for every document."""
-    tokenizer = tokenizer_path("piece_bpe_32k.model")
+    """(doc_id, n_pieces, pieces, lossless) for every document.
+
+    A null text has null pieces and none of them, an empty one an empty
+    array; both are lossless. One row for each row of the table, repeated or
+    not; an empty table gives no rows.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = decode(encode(docs, tokenizer), tokenizer)
-    return back.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    found = encode(docs, tokenizer_path("piece_bpe_32k.model"), check="lossless")
+    return found.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces", "lossless")
 
 
 def with_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:

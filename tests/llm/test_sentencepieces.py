@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -44,12 +45,42 @@ def test_batches_and_kept_lattices_change_nothing(vocabulary):
     texts = [t for t in TEXTS[:-1]] * 3 + ["some words recur and some words recur again"] * 5
     keys = list(range(len(texts)))
     whole = Encoder(vocabulary).encode(texts, keys)
-    small = Encoder(vocabulary, batch_chars=3, most_kept=4)
+    small = Encoder(vocabulary, batch_chars=3, most_arcs=40)
     for _ in range(2):
         ids, n = small.encode(texts, keys)
         assert (ids == whole[0]).all() and (n == whole[1]).all()
 
 
+def test_long_parts_are_drawn_as_in_one_lattice(vocabulary):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdeéß日😀") for _ in range(n)) for n in (1, 15, 40, 300, 1500)] + ["x " + "thequickbrown" * 70 + " y\n", "_" * 500]
+    keys = [k * 104729 for k in range(len(texts))]
+    whole = Encoder(vocabulary).encode(texts, keys)
+    cut = Encoder(vocabulary, window=3)
+    draw = cut._sample_long
+    cut._sample_long = lambda part, place, key: draw(part, place, key, stretch=64)
+    ids, n = cut.encode(texts, keys)
+    assert (ids == whole[0]).all() and (n == whole[1]).all()
+
+
+def test_a_text_of_millions_of_letters_without_a_space(vocabulary):
+    rng = random.Random(4)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2_000_000))
+    ids, n = Encoder(vocabulary).encode([text], [1])
+    assert b"".join(vocabulary.bytes[i] for i in ids.tolist()) == b" " + text.encode() and n.tolist() == [len(ids)]
+
+
+def test_checked_columns_and_clashing_names(spark):
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(TEXTS)], "doc_id long, text string, checked string")
+    rows = {r["doc_id"]: r for r in encode(docs, PATH, check="lossless").collect()}
+    plain = {r["doc_id"]: r["pieces"] for r in encode(docs, PATH).collect()}
+    assert all(r["lossless"] and r["checked"] == "c" and r["pieces"] == plain[k] for k, r in rows.items())
+    with pytest.raises(ValueError, match="exist"):
+        encode(docs, PATH, into="Text")
+    with pytest.raises(ValueError, match="exists"):
+        decode(encode(docs, PATH), PATH, into="text")
+
+
 def test_segmentations_are_drawn_in_proportion(vocabulary):
     import sentencepiece
 
