@@ -11,14 +11,16 @@ from .rules import collapsed, first_match, half_up
 
 # How sources name a round, in the order in which they are tried.
 STATED_STAGES = (
-    ("Series B+", r"(?i)\bseries\s+[b-z]\b"),
-    ("Series A", r"(?i)\bseries\s+a\b"),
-    ("Pre-seed", r"(?i)\bpre[- ]?seed\b"),
+    ("Pre-seed", r"(?i)\bpre-?seed\b"),
+    ("Series B+", r"(?i)\bseries\s+[c-z]\b"),
+    ("Series B+", r"(?i)\bseries\s+b\b"),
+    ("Series A", r"(?i)\bseries\s+a(?:-\d)?\b"),
+    ("Seed", r"(?i)\bseed\s+(?:round|funding|financing|extension)\b"),
+    ("Seed", r"(?i)\braises?\s+\$?[\d.]+\s*[mk]?\s+seed\b"),
     ("Seed", r"(?i)\bseed\b"),
-    ("Bootstrapped", r"(?i)\bbootstrapped\b"),
-    ("Grant-funded", r"(?i)\b(?:sbir|sttr|grant[- ]funded)\b"),
-    ("Stealth", r"(?i)\bstealth\b"),
-    ("Pre-launch", r"(?i)\bpre[- ]?launch\b"),
+    ("Bootstrapped", r"(?i)\bbootstrapp?ed\b"),
+    ("Grant-funded", r"(?i)\b(?:grant[- ]funded|sbir|sttr|nsf\s+award|darpa\s+award)\b"),
+    ("Pre-launch", r"(?i)\b(?:pre-?launch|not\s+yet\s+launched|coming\s+soon|in\s+stealth)\b"),
 )
 # Roles that one person holds.
 SINGULAR_ROLES = (
@@ -30,15 +32,15 @@ SINGULAR_ROLES = (
 )
 # Phrases by which a text tries to instruct its reader.
 INJECTION_FLAGS = (
-    ("ignore-instructions", r"(?i)\bignore (?:all |any )?(?:previous|prior|above) (?:instructions|prompts)\b"),
-    ("role-change", r"(?i)\byou are now\b"),
-    ("system-prompt", r"(?i)\bsystem prompt\b"),
-    ("reveal", r"(?i)\b(?:reveal|print|repeat) (?:your|the) (?:instructions|prompt|secrets?)\b"),
-    ("tool-call", r"(?i)<(?:tool|function)_call"),
+    ("ignore-previous-instructions", r"(?i)ignore\s+(all\s+|any\s+)?(previous|prior|above|earlier)\s+(instruction|prompt|direction|rule)"),
+    ("disregard-previous", r"(?i)disregard\s+(all\s+|any\s+)?(previous|prior|above|the)\s+"),
+    ("role-reassignment", r"(?i)\byou\s+are\s+now\b|\bnew\s+instructions?\b|\bsystem\s*(prompt|message)\s*:"),
+    ("secret-exfiltration", r"(?i)\b(reveal|print|output|repeat|show)\b[^.]{0,40}\b(system\s*prompt|instructions|api[_\s-]?key|secret|token|password)"),
+    ("fake-role-tag", r"(?i)<\s*\/?\s*(system|assistant|human)\s*>"),
+    ("action-injection", r"(?i)\bmark\s+(this|it)\b[^.]{0,30}\b(approved|verified|passed)\b"),
+    ("concealment-instruction", r"(?i)\bdo\s+not\s+(mention|tell|report|disclose)\b"),
 )
 SECRET = r"(?i)\b(?:sk-[A-Za-z0-9_-]{8,}|bearer\s+[A-Za-z0-9._-]{8,}|(?:api[_-]?key|token|secret|password)\s*[=:]\s*\S+)"
-# Units in which financing amounts are counted.
-FINANCING_WORDS = r"(?i)\b(?:raises?|raised|closes?|closed|secures?|secured|lands?|announces?)\b"
 
 
 def scored_labels(text: Column, rules: Mapping[str, Sequence[tuple[str, int]]]) -> Column:

@@ -61,6 +61,12 @@ def batch_date(batch: Column) -> Column:
     return F.to_date(F.concat(F.lit("20"), F.nullif(year, F.lit("")), F.lit("-"), month, F.lit("-01")))
 
 
+def batch_year(accelerator: Column) -> Column:
+    """The year of the batch that an accelerator's name carries; null without one."""
+    year = F.regexp_extract(accelerator, r"(?i)\b(?:W|S|F|Sp|X)(\d{2})\b", 1)
+    return F.nullif(year, F.lit("")).cast("int") + 2000
+
+
 def long_date(at: Column) -> Column:
     return F.date_format(at, "MMMM d, yyyy")
 

@@ -88,3 +88,8 @@ def token_cost(usage: DataFrame, prices: DataFrame, model: str = "model", at: st
     cost = (F.col("input_tokens") * rate("input") + F.col("output_tokens") * rate("output") + F.col("cached_tokens") * rate("cache_read") + F.col("cache_write_tokens") * rate("cache_write")) / 1e6 + F.col("web_searches") * rate("web_search")
     return joined.select(*(usage[c] for c in usage.columns), cost.alias("cost_usd"))
 
+
+def run_estimate(most_tokens: Column, most_calls: Column, tokens_per_call: int = 1200, usd_per_thousand: float = 0.003) -> Column:
+    """struct<tokens, cost_usd>: what a run may use, by its limits and a blended rate."""
+    tokens = F.least(most_tokens, most_calls * tokens_per_call)
+    return F.struct(tokens.alias("tokens"), F.round(tokens / 1000 * usd_per_thousand, 4).alias("cost_usd"))

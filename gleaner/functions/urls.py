@@ -112,3 +112,9 @@ def decoded(text: Column) -> Column:
     usable = F.filter(codes, lambda c: number(c).between(1, 255))
     s = F.aggregate(usable, s, lambda t, c: F.replace(t, F.concat(F.lit("&#"), c, F.lit(";")), F.chr(number(c).cast("long"))))
     return collapsed(F.regexp_replace(s, "&amp;", "&"))
+
+
+def filing_index_url(cik: Column, accession: Column, archive: str = "https://www.sec.gov/Archives/edgar/data/") -> Column:
+    """The page of a filing by filer and accession number; null without either."""
+    there = (F.coalesce(cik, F.lit("")) != "") & (F.coalesce(accession, F.lit("")) != "")
+    return F.when(there, F.concat(F.lit(archive), cik.cast("long").cast("string"), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"), accession, F.lit("-index.htm")))

@@ -134,3 +134,27 @@ def independent_sources(evidence: Column) -> Column:
         return F.when(F.coalesce(again, F.lit(False)), acc).otherwise(grown).cast(kind)
 
     return F.aggregate(evidence, start.cast(kind), step, lambda a: a["n"])
+
+
+def founder_kpis(founders: DataFrame, scores: DataFrame, last_run: Column, now: Column, least: float = 8.0, days: int = 7) -> DataFrame:
+    """(vertical, last_run, discovered_this_week, awaiting_review, stale, hot, cumulative), one row per vertical.
+
+    Founders have company_id, vertical, run_id, first_seen_at, reviewed_at
+    and decision; a score (company_id, score, provisional) is their company's
+    latest. Hot leaves out rejected founders and provisional scores. Stale
+    counts from the last review, else from the first sight. One aggregate
+    over one join: companies are many, scores one row for each.
+    """
+    week = F.date_trunc("week", now)
+    touched = F.coalesce("reviewed_at", "first_seen_at").cast("timestamp")
+    hot = (F.col("decision").isNull() | (F.col("decision") != "rejected")) & ~F.col("_p") & (F.col("_s") >= least)
+    rows = founders.join(scores.select("company_id", F.col("score").alias("_s"), F.col("provisional").alias("_p")), "company_id", "left")
+    seen = F.col("first_seen_at").cast("timestamp")
+    return rows.groupBy("vertical").agg(
+        F.count_if(F.col("run_id") == last_run).alias("last_run"),
+        F.count_if((seen >= week) & (seen < week + F.expr("interval 7 days"))).alias("discovered_this_week"),
+        F.count_if(F.col("decision").isNull()).alias("awaiting_review"),
+        F.count_if(touched <= now - F.expr(f"interval {days} days")).alias("stale"),
+        F.count_if(F.coalesce(hot, F.lit(False))).alias("hot"),
+        F.count(F.lit(1)).alias("cumulative"),
+    )

@@ -1,6 +1,6 @@
 """Queries over the tables of a folder."""
 
-from . import entities, ledger, text
+from . import deals, entities, ledger, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "entities", "ledger", "text"]
+__all__ = ["ORACLES", "QUERIES", "deals", "entities", "ledger", "text"]
