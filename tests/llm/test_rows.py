@@ -151,3 +151,25 @@ def test_token_counts_through_the_cache(spark, tmp_path, name):
     # None and the empty text share a digest; nothing is encoded twice.
     assert stored.count() == stored.select("content_digest").distinct().count() == len({t or "" for t in texts.values()})
     assert K.token_counts(docs.limit(0), str(tmp_path / "none"), path).collect() == []
+
+
+def test_only_what_the_cache_lacks_is_encoded_and_moved(spark, tmp_path, monkeypatch):
+    """With half of the texts stored, the other half alone is encoded; shuffled joins give the same."""
+    path = K.tokenizer_path("piece_bpe_32k.model")
+    texts = [f"text number {i} of a few words" for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(i, texts[0]) for i in range(100, 3000)], "doc_id long, text string")
+    for name, most in (("broadcast", 1_000_000), ("shuffled", 0)):
+        monkeypatch.setattr(K, "broadcast_if_small", lambda df, most_rows=0, most=most: F.broadcast(df) if most else df)
+        cache, asked, plain = str(tmp_path / name), [], K.encode_missing
+
+        def counted(docs, bearers, *rest, asked=asked, plain=plain):
+            asked.append({r["id"] for r in bearers.collect()})
+            return plain(docs, bearers, *rest)
+
+        monkeypatch.setattr(K, "encode_missing", counted)
+        K.token_counts(docs.where("doc_id < 20"), cache, path).collect()
+        rows = K.token_counts(docs, cache, path).collect()
+        K.token_counts(docs, cache, path).collect()
+        monkeypatch.setattr(K, "encode_missing", plain)
+        assert asked == [set(range(20)), set(range(20, 40))]
+        assert len(rows) == docs.count() and {r["n_tokens"] for r in rows} == set(K.counter(path)(texts))
