@@ -59,9 +59,12 @@ def random_strings(spark: SparkSession, n: int) -> DataFrame:
 
 
 def ordinary_strings(docs: DataFrame, n_texts: int, text: str = "text") -> DataFrame:
-    """Words of about ``n_texts`` texts, plain and joined as identifiers are."""
-    n = docs.count()
-    picked = docs.where(F.pmod(F.xxhash64(text), F.lit(max(1, n // max(1, n_texts)))) == 0)
+    """Words of ``n_texts`` different texts at most, plain and joined as identifiers are.
+
+    Of each task's texts the first by hash go on, so a text that fills a
+    third of all rows counts once, and the bound holds for any table.
+    """
+    picked = _first_by_hash(docs.where(F.col(text).isNotNull()), n_texts, text)
     w = F.regexp_extract_all(F.col(text), F.lit(r"(?<![A-Za-z0-9+/_-])[A-Za-z]{2,24}(?![A-Za-z0-9+/_-])"), F.lit(0))
     rows = picked.select(w.alias("w")).where(F.size("w") > 2)
     joined = F.transform("w", lambda x, i: F.concat(F.lower(x), F.initcap(F.coalesce(F.get("w", i + 1), F.lit("")))))
@@ -71,6 +74,15 @@ def ordinary_strings(docs: DataFrame, n_texts: int, text: str = "text") -> DataF
     return rows.select(F.explode(F.concat("w", joined, snake, dashed, path)).alias("value"))
 
 
+def _first_by_hash(docs: DataFrame, n: int, text: str) -> DataFrame:
+    """``n`` different texts with the least hashes; hashes alone are sorted, and only ``n`` of them meet."""
+    hashed = docs.select(F.xxhash64(text).alias("_h")).distinct()
+    bound = hashed.orderBy("_h").limit(n).agg(F.max("_h").alias("most")).first()["most"]
+    if bound is None:
+        return docs.select(text).limit(0)
+    return docs.select(text).where(F.xxhash64(text) <= bound).groupBy(F.xxhash64(text).alias("_h")).agg(F.min(text).alias(text)).select(text)
+
+
 def train(random: DataFrame, ordinary: DataFrame, smoothing: float = 0.5, **options) -> MarkovModel:
     """Fit both models on labelled samples; at most ``_SIZE`` squared counts per label come back."""
     both = random.withColumn("label", F.lit(1)).unionByName(ordinary.withColumn("label", F.lit(0)))
@@ -122,7 +134,9 @@ def secret_spans(docs: DataFrame, model: MarkovModel, text: str = "text") -> Dat
 
     Places count code points, ends are exclusive; ``spans`` adds strings that
     the model takes for random to the base ones, unless they overlap one.
-    Null and empty texts have empty arrays; rows are judged one by one.
+    Null and empty texts have empty arrays; rows are judged one by one, so
+    repeats and other columns stay; columns of these two names are an error.
+    Of a very long text every match counts; no rows give no rows.
     """
     if {"base_spans", "spans"} & {c.lower() for c in docs.columns}:
         raise ValueError("columns base_spans or spans exist")
@@ -134,11 +148,12 @@ def secret_spans(docs: DataFrame, model: MarkovModel, text: str = "text") -> Dat
 
 
 def train_on(docs: DataFrame, n_random: int = 20_000, n_texts: int = 500) -> MarkovModel:
-    """A model from ``n_random`` made-up strings and the words of about ``n_texts`` texts."""
+    """A model from ``n_random`` made-up strings and the words of ``n_texts`` texts at most."""
     return train(random_strings(docs.sparkSession, n_random), ordinary_strings(docs, n_texts))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every document; a null text is an empty one, repeated rows keep a row each."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_spans(docs, train_on(docs))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
