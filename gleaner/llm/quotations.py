@@ -27,7 +27,7 @@ ATTRIBUTION = r"(?i)\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$"
 class Linking:
     """``least_chars``: shorter lines aren't sought by themselves, as they are too common.
 
-    ``span``: consecutive root turns of a conversation that one task orders.
+    ``span``: consecutive root turns of a conversation, and turns of a thread, that one task orders.
     """
 
     least_chars: int = 12
@@ -108,7 +108,7 @@ def link_quotations(chats: DataFrame, conv_col: str = "conv_id", turn_col: str =
     counts repeated rows, which are one message.
 
     A passage comes from the first earlier turn that says it itself as a
-    whole text, paragraph or line. Null texts count as empty. Messages
+    whole text, paragraph or line; very long texts are read whole. Null texts count as empty. Messages
     without a turn come last and are linked to nothing; a null conversation
     is one of its own. An empty table gives no rows; other columns are left out.
     """
@@ -137,13 +137,17 @@ def link_quotations(chats: DataFrame, conv_col: str = "conv_id", turn_col: str =
         hung = written(hung.drop("root"), "hung")
         for df in (messages, quotes, replies):
             drop_written(df)
-    # Places in two steps: a conversation may be a third of all rows.
-    hung = hung.withColumn("stretch", F.coalesce(F.floor(F.col("thread") / linking.span), F.lit((1 << 62))))
-    counts = hung.groupBy("conv", "stretch").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("conv").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("conv", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("conv", "stretch").orderBy(F.col("thread").asc_nulls_last(), F.col("at").asc_nulls_last(), "role", "message")
-    placed = hung.withColumn("nth", F.row_number().over(inside) - 1).join(starts, ["conv", "stretch"])
+    # Places in three steps, so that neither a conversation nor a thread is sorted as a whole: both may be a third of all rows.
+    last = F.lit(1 << 62)
+    within = F.when(F.col("at").isNull(), F.shiftright("message", 56)).otherwise(F.floor(F.col("at") / linking.span))
+    hung = hung.withColumns({"stretch": F.coalesce(F.floor(F.col("thread") / linking.span), last), "of_thread": F.coalesce("thread", last), "within": within})
+    blocks = hung.groupBy("conv", "stretch", "of_thread", "within").agg(F.count(F.lit(1)).alias("n"))
+    stretches = blocks.groupBy("conv", "stretch").agg(F.sum("n").alias("n"))
+    above = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = stretches.select("conv", "stretch", above(Window.partitionBy("conv").orderBy("stretch")).alias("start"))
+    offsets = blocks.select("conv", "stretch", "of_thread", "within", above(Window.partitionBy("conv", "stretch").orderBy("of_thread", "within")).alias("offset"))
+    inside = Window.partitionBy("conv", "stretch", "of_thread", "within").orderBy(F.col("at").asc_nulls_last(), F.when(F.col("at").isNotNull(), F.col("role")), "message")
+    placed = hung.withColumn("nth", F.row_number().over(inside) - 1).join(offsets, ["conv", "stretch", "of_thread", "within"]).join(starts, ["conv", "stretch"])
     slim = F.transform(F.coalesce("quotes", F.array().cast(hung.schema["quotes"].dataType)), lambda q: F.struct(q["level"].alias("level"), q["digest"].alias("digest"), q["from_turn"].alias("from_turn")))
     return placed.select(
         F.col("conv_value").alias(conv_col),
@@ -155,10 +159,11 @@ def link_quotations(chats: DataFrame, conv_col: str = "conv_id", turn_col: str =
         slim.alias("quotes"),
         "reply_to",
         "thread",
-        (F.col("start") + F.col("nth")).cast("long").alias("position"),
+        (F.col("start") + F.col("offset") + F.col("nth")).cast("long").alias("position"),
         "copies",
     )
 
 
 def op4_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of ``conversations``, linked; nulls, repeats and empty tables as in :func:`link_quotations`."""
     return link_quotations(read_table(spark, sf_dir, "conversations"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from gleaner.llm.quotations import link_quotations
 
 SCHEMA = "conv_id long, turn long, role string, text string, thread string, position int"
@@ -53,3 +55,36 @@ def test_nulls_repeats_and_empty_texts(spark):
     assert got[3, None, "a"]["position"] == 2 and got[3, None, "a"]["text"] == ""
     assert len(got) == 5
     assert link_quotations(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_equals_plain_linking_on_made_up_threads(spark):
+    """One hot conversation with a long chain, one of many threads, and messages without a turn."""
+    rng = random.Random(8)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4))
+    rows, said = [], {}
+    for conv in (1, 2):
+        for turn in range(700 if conv == 1 else 60):
+            own = line()
+            quoted = said[conv][turn - 1 if conv == 1 else rng.randrange(turn)] if turn else None
+            said.setdefault(conv, []).append(own)
+            rows.append((conv, turn, "r", own if quoted is None else f"> {quoted.upper()}\n{own}"))
+    rows += [(2, None, rng.choice("ab"), line()) for _ in range(40)]
+    got = link_quotations(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()
+    own = {(c, t): text.split("\n")[-1] for c, t, _, text in rows}
+    first = {(c, text): t for (c, t), text in sorted(own.items(), key=lambda x: -x[0][1] if x[0][1] is not None else 1) if t is not None}
+    reply = {(c, t): first[c, text.split("\n")[0][2:].lower()] for c, t, _, text in rows if text.startswith(">")}
+
+    def root(c, t):
+        while (c, t) in reply:
+            t = reply[c, t]
+        return t
+
+    for r in got:
+        c, t = r["conv_id"], r["turn"]
+        if t is not None:
+            assert (r["reply_to"], r["thread"], r["text"]) == (reply.get((c, t)), root(c, t), own[c, t])
+    for c in (1, 2):
+        mine = sorted((r for r in got if r["conv_id"] == c), key=lambda r: r["position"])
+        assert [r["position"] for r in mine] == list(range(len(mine)))
+        assert [r["turn"] for r in mine if r["turn"] is not None] == sorted((t for k, t in own if k == c and t is not None), key=lambda t: (root(c, t), t))
+        assert all(r["turn"] is None for r in mine[sum(r["turn"] is not None for r in mine) :])
