@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read_table
+from .common import drop_written, fresh, read_table, written
 
 #: Characters of a q-gram; eight of them fill a word when each is cut to a byte.
 Q = 8
@@ -120,7 +121,7 @@ class Index:
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def shared(self, codes: np.ndarray, most_held: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, diagonal, place in the text) of every q-gram shared with a window."""
         found = []
         for a in range(0, len(codes), 1 << 20):
@@ -133,10 +134,26 @@ class Index:
         if not found:
             return (np.zeros(0, np.int64),) * 3
         at, k = (np.concatenate(x) for x in zip(*found, strict=True))
+        # Frequent q-grams are in many windows: counted stretch by stretch first, and only windows with enough are kept.
+        cuts = np.searchsorted(np.cumsum(self.ends[k] - self.first[k]), np.arange(0, int((self.ends[k] - self.first[k]).sum()), most_held))
+        parts = [(at[a:b], k[a:b]) for a, b in zip(cuts, [*cuts[1:], len(k)], strict=True) if b > a]
+        keep = None
+        if len(parts) > 1:
+            per = sum(np.bincount(self.owner[self._places(x)[0]], minlength=len(self.windows)) for _, x in parts)
+            keep = per >= self.needed
+        out = []
+        for places, x in parts:
+            flat, n = self._places(x)
+            window, where = self.owner[flat].astype(np.int64), np.repeat(places, n)
+            diagonal = where - self.place[flat]
+            mine = slice(None) if keep is None else keep[window]
+            out.append((window[mine], diagonal[mine], where[mine]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _places(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entries of the q-grams k, entries per q-gram)."""
         n = self.ends[k] - self.first[k]
-        flat = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        at = np.repeat(at, n)
-        return self.owner[flat].astype(np.int64), at - self.place[flat], at
+        return np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(int(n.sum())), n
 
     def regions(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(window, first diagonal, last diagonal) of the bands that reach the bound."""
@@ -260,13 +277,13 @@ def _keep(best: dict, w: int, n: int, got: tuple[int, int, int]) -> None:
     best[w, at] = got
 
 
-def _slices(benchmark: DataFrame, item_col: str, text: str, limits: Limits) -> Iterator[list[tuple[int, str]]]:
-    """The items, at most about ``slice_chars`` of them at a time (or one longer item)."""
+def _slices(benchmark: DataFrame, item_col: str, text: str, limits: Limits) -> Iterator[tuple[list[tuple[int, str]], int]]:
+    """(items, number of slices): at most about ``slice_chars`` characters of items at a time (or one longer item)."""
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").distinct()
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-chars // limits.slice_chars)
     for k in range(n):
-        yield [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
+        yield [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()], n
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -276,16 +293,19 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limit
     window's place in its item. Case and the amount of white space don't
     matter. Null and empty texts and items hold nothing; repeated documents
     give repeated rows, repeated items count once; an empty benchmark or
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored. A very long text is read
+    whole, stretch by stretch.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, {_HITS}"
     names = [id_col, *(x.split()[0] for x in _HITS.split(", "))]
     picked = docs.select(F.col(id_col), F.col(text).alias("_text"))
-    out = docs.sparkSession.createDataFrame([], schema)
-    for items in _slices(benchmark, item_col, item_text, limits):
-        out = out.unionByName(picked.mapInArrow(_seek(items, limits, names), schema))
-    return out
+    # The driver holds one slice at a time; of several each one's rows are written.
+    found: list[DataFrame] = []
+    for items, n in _slices(benchmark, item_col, item_text, limits):
+        rows = picked.mapInArrow(_seek(items, limits, names), schema)
+        found.append(written(rows, "contaminations") if n > 1 else rows)
+    return reduce(DataFrame.unionByName, found, docs.sparkSession.createDataFrame([], schema))
 
 
 def _seek(items: list[tuple[int, str]], limits: Limits, names: list[str]):
@@ -304,14 +324,18 @@ def _seek(items: list[tuple[int, str]], limits: Limits, names: list[str]):
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of ``benchmark`` in every document; nulls, repeats and empty tables as in :func:`contaminations`."""
     return contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), text: str = "text") -> DataFrame:
     """Pipeline stage: the rows of ``docs`` that hold no window of any item."""
     flag = fresh(docs, "clean")
-    for items in _slices(benchmark, "item_id", "text", limits):
-        docs = docs.withColumn(flag, _free_of(items, limits)(F.col(text))).where(F.col(flag)).drop(flag)
+    for items, n in _slices(benchmark, "item_id", "text", limits):
+        before, docs = docs, docs.withColumn(flag, _free_of(items, limits)(F.col(text))).where(F.col(flag)).drop(flag)
+        if n > 1:
+            docs = written(docs, "clean")
+            drop_written(before)
     return docs
 
 
