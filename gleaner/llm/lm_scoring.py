@@ -42,10 +42,20 @@ class Plan:
 
     ``block_bytes``: text of a block; a task holds the n-grams of one block.
     ``range_tokens``: n-grams of a range; a task holds those of one range.
+    From ``grows_from`` bytes of text both grow, ``most_growth`` times at most.
+    A block asks a range at most once an order, and never for nothing, so there
+    are no more requests than n-grams, however many blocks and ranges there are.
     """
 
     block_bytes: int = 4 << 20
     range_tokens: int = 1_000_000
+    most_growth: float = 8.0
+    grows_from: int = 8 << 30
+
+    def at(self, n_bytes: int) -> tuple[int, int]:
+        """(block_bytes, range_tokens) for a corpus: both grow with its square root, so that requests don't get too short."""
+        grown = min(self.most_growth, max(1.0, (n_bytes / self.grows_from) ** 0.5))
+        return int(self.block_bytes * grown), int(self.range_tokens * grown)
 
 
 @dataclass(frozen=True)
@@ -137,11 +147,12 @@ def _requests(n_ranges: int):
             n, m = (np.bincount(which[f], minlength=len(h)) for f in (trained, deleted))
             # Equal steps of the hash space: an order's hashes are sorted, so a range is one slice.
             space = 1 << 64 - _DROPPED_BITS[kind + 1]
-            cuts = np.searchsorted(h, np.array([space * k // n_ranges for k in range(1, n_ranges)], np.uint64)).tolist()
-            for part, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(h)], strict=True)):
-                if b > a:
-                    gaps = np.concatenate([h[a : a + 1], np.diff(h[a:b])])
-                    rows.append((part, key[0].as_py(), kind, _packed(gaps), _packed(n[a:b]), _packed(m[a:b])))
+            # One step for each range that the block has n-grams of, however many ranges there are.
+            part = (h / np.float64(space) * n_ranges).astype(np.int64).clip(0, n_ranges - 1)
+            first = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            for a, b in zip(first, [*first[1:], len(h)], strict=True):
+                gaps = np.concatenate([h[a : a + 1], np.diff(h[a:b])])
+                rows.append((int(part[a]), key[0].as_py(), kind, _packed(gaps), _packed(n[a:b]), _packed(m[a:b])))
         return _table(rows, _REQUESTS)
 
     return ask
@@ -297,9 +308,12 @@ def lm_scores(docs: DataFrame, held_out: Column, deleted: Column, id_col: str =
     n_known, train_tokens, base_score, score. Both scores are sums of log10
     over the tokens and one end.
 
-    Null and empty texts are a bare end; null flags count as false; ids may
-    repeat or be null, each row is scored; columns beside the two are
-    ignored. No training rows: every token has the share of an unknown one.
+    Null and empty texts are a bare end; a very long text is one block's, as a
+    whole; null flags count as false; ids may repeat or be null, each row is
+    scored; columns beside the two are ignored, so none can clash. An empty
+    table gives no rows. No training rows: every token has the share of an
+    unknown one. Longer n-grams are told apart by 48 bits: of 10^9 different
+    ones, one in 280,000 shares its count with another.
     """
     spark = docs.sparkSession
     id_type = docs.select(id_col).schema[0]
@@ -308,9 +322,10 @@ def lm_scores(docs: DataFrame, held_out: Column, deleted: Column, id_col: str =
     rows = rows.select("id", "text", "held_out", (~F.col("held_out")).alias("trained"), (F.col("in_fold") & ~F.col("held_out")).alias("deleted"))
     n = F.octet_length("text")
     sizes = rows.agg(F.coalesce(F.sum(n), F.lit(0)).alias("b"), F.coalesce(F.sum(F.when(F.col("deleted"), n)), F.lit(0)).alias("b_fold"), F.count_if("trained").alias("n"), F.count_if("deleted").alias("d")).first()
-    n_fold = max(1, -(-sizes["b_fold"] // plan.block_bytes))
-    n_rest = max(1, -(-(sizes["b"] - sizes["b_fold"]) // plan.block_bytes))
-    n_ranges = max(1, sizes["b"] // 6 // plan.range_tokens)
+    block_bytes, range_tokens = plan.at(sizes["b"])
+    n_fold = max(1, -(-sizes["b_fold"] // block_bytes))
+    n_rest = max(1, -(-(sizes["b"] - sizes["b_fold"]) // block_bytes))
+    n_ranges = max(1, sizes["b"] // 6 // range_tokens)
     # The fold has blocks of its own, so that learning reads no others.
     h = F.xxhash64("id", F.crc32(F.col("text").cast("binary")))
     blocks = rows.withColumn("block", F.when(F.col("deleted"), F.pmod(h, F.lit(n_fold))).otherwise(F.pmod(h, F.lit(n_rest)) + n_fold))
@@ -340,6 +355,7 @@ def _arrow_type(kind):
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document; nulls, repeats and empty tables as in :func:`lm_scores`."""
     docs = read_table(spark, sf_dir, "documents")
     rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
     return lm_scores(docs, rest == 2, rest == 3)[0]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm.lm_scoring import BUCKETS, Plan, lm_scores
+from gleaner.llm.lm_scoring import BUCKETS, Plan, _Block, _requests, learn, lm_scores
 
 TEXTS = ["the cat sat on the mat", "the cat sat", "The dog sat on the cat", None, "", "  a\tb\x0bc\n", "the the the the", "é ü ß the", "cat sat on", "dog sat on the mat the cat"]
 
@@ -79,3 +81,43 @@ def test_empty_table_and_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     rows = lm_scores(docs, F.lit(True), F.lit(False))[0].collect()
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in rows) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
+
+
+def _plain_em(events, n_tokens, n_types, rounds):
+    bucket = lambda c: min(1 + int(math.log2(c)), BUCKETS - 1) if c > 0 else 0
+    l1, l2, l3 = 0.5, [0.0] + [0.5] * (BUCKETS - 1), [0.0] + [0.5] * (BUCKETS - 1)
+    for _ in range(rounds):
+        own, rest = Counter(), Counter()
+        for d3, c3, d2, c2, d1, n in events:
+            b3, b2 = bucket(c3), bucket(c2)
+            a3, a2 = l3[b3] * (d3 / c3 if c3 else 0), (1 - l3[b3]) * l2[b2] * (d2 / c2 if c2 else 0)
+            left = (1 - l3[b3]) * (1 - l2[b2])
+            a1, a0 = left * l1 * d1 / n_tokens, left * (1 - l1) / (n_types + 1)
+            p = a3 + a2 + a1 + a0
+            for key, x, y in (((3, b3), a3, a2 + a1 + a0), ((2, b2), a2, a1 + a0), ((1, 0), a1, a0)):
+                own[key] += n * x / p
+                rest[key] += n * y / p
+        new = lambda key, old: min(own[key] / (own[key] + rest[key]), 0.9999) if own[key] + rest[key] > 0 and old > 0 else old
+        l1, l2, l3 = new((1, 0), l1), [new((2, b), x) for b, x in enumerate(l2)], [new((3, b), x) for b, x in enumerate(l3)]
+    return (l1,), tuple(l2), tuple(l3)
+
+
+def test_weights_are_those_of_plain_expectation_maximisation(spark):
+    rng = random.Random(6)
+    events = []
+    for _ in range(300):
+        c3, c2 = rng.choice([0, 1, 3, 9, 70]), rng.choice([0, 2, 5, 40, 900])
+        events.append((rng.randint(0, c3), c3, rng.randint(0, c2), c2, rng.randint(1, 50), rng.randint(1, 4)))
+    frame = spark.createDataFrame(events, "deleted3 long, context3 long, deleted2 long, context2 long, deleted1 long, n long")
+    got = learn(frame, 5000, 300, rounds=5, tolerance=0.0)
+    for x, y in zip(got, _plain_em(events, 5000, 300, 5), strict=True):
+        assert x == pytest.approx(y, rel=1e-9)
+
+
+def test_requests_grow_with_n_grams_not_with_blocks_times_ranges(spark):
+    rows = [(f"w{i % 50} x{i % 70} y{i % 90} " * 4, True, False) for i in range(60)]
+    docs = pa.Table.from_pylist([{"text": t, "trained": a, "deleted": b} for t, a, b in rows])
+    few, many = (_requests(n)((pa.scalar(0),), docs).num_rows for n in (100, 100_000))
+    grams = sum(len(d) for d in _Block([r[0] for r in rows]).distinct)
+    assert few <= 300 and many <= grams
+    assert Plan().at(1 << 30) == (4 << 20, 1_000_000) and Plan().at(1 << 50) == (32 << 20, 8_000_000)
