@@ -101,6 +101,11 @@ def looks_parked(html: Column) -> Column:
     return F.coalesce(F.lower(F.substring(html, 1, 20_000)).rlike(r"domain (?:is|may be) for sale|buy this domain|parked (?:free|domain)|coming soon|under construction|site not published"), F.lit(False))
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point, by its four bytes."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+
+
 def decoded(text: Column) -> Column:
     """CDATA unwrapped, named and numeric entities decoded, tags gone."""
     s = F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
@@ -109,8 +114,8 @@ def decoded(text: Column) -> Column:
         s = F.regexp_replace(s, f"&{name};", char)
     codes = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#(x?[0-9A-Fa-f]{1,6});"), F.lit(1)))
     number = lambda c: F.when(c.startswith("x"), F.conv(F.substring(c, 2, 6), 16, 10)).otherwise(c).cast("int")
-    usable = F.filter(codes, lambda c: number(c).between(1, 255))
-    s = F.aggregate(usable, s, lambda t, c: F.replace(t, F.concat(F.lit("&#"), c, F.lit(";")), F.chr(number(c).cast("long"))))
+    usable = F.filter(codes, lambda c: number(c).between(1, 0x10FFFF) & ~number(c).between(0xD800, 0xDFFF))
+    s = F.aggregate(usable, s, lambda t, c: F.replace(t, F.concat(F.lit("&#"), c, F.lit(";")), _character(number(c))))
     return collapsed(F.regexp_replace(s, "&amp;", "&"))
 
 

@@ -167,7 +167,8 @@ h AS (SELECT a.id, 0 AS tier, min(b.id) AS m FROM a JOIN b USING (dk) GROUP BY 1
 @query(f"""WITH {_EXACT} SELECT id, arg_min(CASE tier WHEN 0 THEN 'domain' WHEN 1 THEN 'external-id' WHEN 2 THEN 'crm-id' ELSE 'name' END, tier) AS matched_by, arg_min(m, tier) AS match_id, CASE WHEN min(tier) < 3 THEN 'exact' ELSE 'likely' END AS duplicate_status FROM h GROUP BY id""")
 def match_exact_tiers(t: Tables) -> DataFrame:
     """The exact tiers of the match cascade; names alone make a likely duplicate."""
-    found = M.duplicate_status(M.match(_records(t, 1), _records(t, 0)))
+    exact = [tier for tier, kind in M.TIERS.items() if kind == "exact"]
+    found = M.duplicate_status(M.match(_records(t, 1), _records(t, 0), tiers=exact))
     return found.where(F.col("kind") == "exact").select("id", "matched_by", "match_id", "duplicate_status")
 
 
@@ -180,16 +181,14 @@ def match_possible_tiers(t: Tables) -> DataFrame:
 @query()
 def fuzzy_names(t: Tables) -> DataFrame:
     names = t.part.select(F.lower(F.concat("p_name", F.lit(" "), "p_brand")).alias("key"))
-    return M.fuzzy_pairs(names, names, "key")
+    # Both ways round is one pair.
+    return M.fuzzy_pairs(names, names, "key").where("key < other")
 
 
 @query("""WITH n(x) AS (VALUES (1), (2), (3)) SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS edge_id, l_partkey, l_suppkey FROM lineitem WHERE l_partkey IN (SELECT x FROM n) OR l_suppkey IN (SELECT x FROM n)""")
 def edges_of_nodes(t: Tables) -> DataFrame:
     edges = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("edge_id"), "l_partkey", "l_suppkey").distinct()
-    nodes = t.spark.createDataFrame([(1,), (2,), (3,)], "node long")
-    left = edges.join(nodes.withColumnRenamed("node", "l_partkey"), "l_partkey", "left_semi")
-    right = edges.join(nodes.withColumnRenamed("node", "l_suppkey"), "l_suppkey", "left_semi")
-    return left.unionByName(right).distinct()
+    return M.edges_of(edges, t.spark.createDataFrame([(1,), (2,), (3,)], "node long"), "l_partkey", "l_suppkey")
 
 
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")

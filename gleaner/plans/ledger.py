@@ -39,11 +39,12 @@ def hot_by_segment(t: Tables) -> DataFrame:
 
 
 @query(f"""SELECT count(*) FILTER (o_orderdate >= date_trunc('week', TIMESTAMP '{TODAY}') AND o_orderdate < date_trunc('week', TIMESTAMP '{TODAY}') + INTERVAL 7 DAY) AS this_week,
-count(*) FILTER (o_orderstatus = 'new') AS awaiting_review, count(*) AS cumulative,
+count(*) FILTER (o_orderstatus = 'O') AS awaiting_review, count(*) AS cumulative,
 count(*) FILTER (TIMESTAMP '{TODAY}' - o_orderdate >= INTERVAL 7 DAY AND o_orderstatus NOT IN ('F')) AS stale,
 count(*) FILTER (o_totalprice / 50000 >= 8 AND NOT (o_orderpriority = '5-LOW')) AS hot FROM orders""")
 def entity_kpis(t: Tables) -> DataFrame:
-    rows = t.orders.select("o_orderdate", "o_orderstatus", (F.col("o_totalprice") / 50000).alias("score"), (F.col("o_orderpriority") == "5-LOW").alias("provisional"))
+    status = F.when(F.col("o_orderstatus") == "O", "new").otherwise(F.col("o_orderstatus"))
+    rows = t.orders.select("o_orderdate", status.alias("o_orderstatus"), (F.col("o_totalprice") / 50000).alias("score"), (F.col("o_orderpriority") == "5-LOW").alias("provisional"))
     return A.entity_kpis(rows, _now(), "o_orderdate", "o_orderdate", "o_orderstatus", "score", "provisional", ["F"])
 
 

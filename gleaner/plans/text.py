@@ -46,9 +46,10 @@ def name_keys(t: Tables) -> DataFrame:
     return _names(t).select("p_partkey", N.company_key(n).alias("company_key"), N.company_name(n).alias("company_name"), N.founder_key(n).alias("founder_key"), N.slug(n).alias("slug"), N.domain_stem(n).alias("domain_stem"), N.is_full_name(n).alias("is_full_name"))
 
 
-@query(f"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(translate(list_aggregate(list_slice(string_split(text, ' '), 1, 3), 'string_agg', ' '), '{N.MARKED}', '{N.PLAIN}')), '[^a-z\\s-]', '', 'g'), '\\s+', ' ', 'g')) AS person_key FROM documents""")
+@query(f"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(translate(text, '{N.MARKED}', '{N.PLAIN}')), '[^a-z\\s-]', '', 'g'), '\\s+', ' ', 'g'))) AS digest FROM documents""")
 def person_keys(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", N.person_key(F.array_join(F.slice(F.split("text", " "), 1, 3), " ")).alias("person_key"))
+    """Keys of whole texts, read as names, by their digest."""
+    return t.documents.select("doc_id", F.md5(N.person_key(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query("""WITH f AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS s FROM documents) SELECT doc_id, CASE WHEN len(s) >= 40 THEN s[1:120] ELSE '' END AS fingerprint FROM f""")
@@ -157,7 +158,7 @@ def thesis_eligibility(t: Tables) -> DataFrame:
     said = F.col("said")
     verticals = [f"src{i}" for i in range(200) if i not in (3, 4)]
     out = eligibility(rows, said, ["en", "fr", "es"], verticals)
-    return out.select("doc_id", first_match(said, EXCLUDED_BUSINESS).alias("excluded"), first_match(said, MATURE_STAGE).alias("mature"), first_match(said, INACTIVE).alias("inactive"), F.size("rejections").alias("n_rejections"), "eligible")
+    return out.select("doc_id", "found.*", F.size("rejections").alias("n_rejections"), "eligible")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(source || ' ' || text), 'license')")
@@ -223,12 +224,12 @@ def rejected_rows(t: Tables) -> DataFrame:
     return bad.select("c_custkey", F.array_contains("issues", "balance").alias("no_balance"), F.array_contains("issues", "name").alias("no_name"))
 
 
-@query("""SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^(.{279}).{2,}$', '\\1…') AS support, CASE WHEN len(regexp_replace(text, '[^0-9.]', '', 'g')) > 0 AND regexp_matches(regexp_replace(text, '[^0-9.]', '', 'g'), '^\\d{1,9}(\\.\\d+)?$') AND CAST(regexp_replace(text, '[^0-9.]', '', 'g') AS DOUBLE) > 0 THEN CAST(regexp_replace(text, '[^0-9.]', '', 'g') AS DOUBLE) END AS figure FROM (SELECT doc_id, text[1:400] AS text FROM documents)""")
+@query(f"""SELECT doc_id, regexp_replace(trim(regexp_replace(text, '{_SPACES}+', ' ', 'g')), '^(.{{279}}).{{2,}}$', '\\1…') AS support, CASE WHEN regexp_matches(regexp_replace(text, '[^0-9.]', '', 'g'), '^\\d{{1,9}}(\\.\\d+)?$') AND CAST(regexp_replace(text, '[^0-9.]', '', 'g') AS DOUBLE) > 0 THEN CAST(regexp_replace(text, '[^0-9.]', '', 'g') AS DOUBLE) END AS figure FROM documents""")
 def shortened_support(t: Tables) -> DataFrame:
-    """Support shown to a reader: cut with an ellipsis. The first 400 characters are what is shown at most."""
-    shown = t.documents.select("doc_id", F.substring("text", 1, 400).alias("s"))
-    digits = F.regexp_replace("s", "[^0-9.]", "")
-    return shown.select("doc_id", N.shortened(F.col("s")).alias("support"), F.when(digits.rlike(r"^\d{1,9}(\.\d+)?$"), number(F.col("s"))).alias("figure"))
+    """Support shown to a reader, cut with an ellipsis, and the figure that the whole text holds, if it is one."""
+    s = F.col("text")
+    digits = F.regexp_replace(s, "[^0-9.]", "")
+    return t.documents.select("doc_id", N.shortened(s).alias("support"), F.when(digits.rlike(r"^\d{1,9}(\.\d+)?$"), number(s)).alias("figure"))
 
 
 @query()
