@@ -134,6 +134,8 @@ class Index:
         if not found:
             return (np.zeros(0, np.int64),) * 3
         at, k = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(k):
+            return (np.zeros(0, np.int64),) * 3
         # Frequent q-grams are in many windows: counted stretch by stretch first, and only windows with enough are kept.
         cuts = np.searchsorted(np.cumsum(self.ends[k] - self.first[k]), np.arange(0, int((self.ends[k] - self.first[k]).sum()), most_held))
         parts = [(at[a:b], k[a:b]) for a, b in zip(cuts, [*cuts[1:], len(k)], strict=True) if b > a]

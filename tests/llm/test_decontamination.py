@@ -87,3 +87,15 @@ def test_excerpts_and_short_items_are_found():
     assert all({h[0] for h in find(index, [f"{_prose(20)} {item[a : a + 79]} {_prose(20)}"])[0]} == {1} for a in range(0, len(item) - 79, 7))
     assert [h[0] for h in find(index, ["So: who  wrote IT? Nobody."])[0]] == [2]
     assert find(index, ["mywho wrote it? tiny", "who wrote its?", None]) == [[], [], []]
+
+
+def test_q_grams_counted_stretch_by_stretch_find_the_same():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    items = [(i, "the common start of it " + " ".join(word() for _ in range(30))) for i in range(30)]
+    index = Index(items, Limits())
+    texts = [" ".join(word() for _ in range(80)) for _ in range(5)] + [f"{items[3][1]} {' '.join(word() for _ in range(20))} {items[4][1][40:160]}", "the common start of it " * 40, "x" * 50, ""]
+    plain = [index.regions(normalised(t)[0]) for t in texts]
+    whole = index.shared
+    index.shared = lambda codes, most_held=50: whole(codes, most_held)
+    assert [index.regions(normalised(t)[0]) for t in texts] == plain and plain[5]
