@@ -169,6 +169,7 @@ def shards(docs: DataFrame, n: int = 24, text: str = "text", id_col: str = "doc_
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard of 24, by the law ``bytes``; nulls, repeats and empty tables as in :func:`shards`."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     crc = docs.withColumn("text_crc32", F.crc32(text_or_empty("text").cast("binary")))
     return shards(crc).select(

@@ -189,7 +189,9 @@ def near_duplicates(docs: DataFrame, t: int = 2, words: int = 3, id_col: str = "
     component_id is the smallest id reachable over links of at most ``t``
     bits. Exact copies share a fingerprint and meet the links once. Texts
     without words, nulls among them, have fingerprint zero and link like
-    any other. Repeated rows give repeated results.
+    any other. A very long text counts whole. Repeated rows give repeated
+    results; a component whose ids are all null has none. An empty table
+    gives no rows; other columns are left out, so none can clash.
     """
     printed = written(with_fingerprint(docs.select(F.col(id_col), F.col(text)), text, words).select(id_col, "fp"), "fingerprints")
     firsts = written(printed.groupBy("fp").agg(F.min(id_col).alias("first")), "firsts")
@@ -201,6 +203,7 @@ def near_duplicates(docs: DataFrame, t: int = 2, words: int = 3, id_col: str = "
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document; nulls, repeats and empty tables as in :func:`near_duplicates`."""
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from gleaner.llm.common import shared_dir
+from gleaner.llm.quality_rules import keep_good
 
 PROSE = [
     "Early in the morning the harbour wakes, and gulls circle over nets that dry along the western quay.",
@@ -62,6 +64,21 @@ def test_empty_documents(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
 
 
+def test_ties_very_long_texts_and_clashing_columns(spark, folder, tmp_path):
+    """Stages keep columns of any name; equal rows, a long text and nulls pass through."""
+    known = keep_good(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    long = known.orderBy(F.length("text").desc()).first()["text"]
+    assert len(long) > 10_000
+    rows = [(1, long, 5, "r", "p", 3, True), (1, long, 5, "r", "p", 3, True), (2, None, 0, "r", "p", 3, False), (None, f"{PROSE[0]} {PROSE[2]} {PROSE[4]} No id stands beside this text at all.", 5, "r", "p", 3, None), (3, "", 0, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, row string, pieces string, n_lines int, clean boolean")
+    docs = frame
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, folder), name)
+        assert docs.columns[:7] == frame.columns
+        assert {(r["row"], r["pieces"], r["n_lines"]) for r in docs.collect()} == {("r", "p", 3)}
+    assert sorted((r["doc_id"] for r in docs.collect()), key=str) == [1, None]
+
+
 def test_entry_has_all_eleven(spark):
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
