@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op3_decontamination
 from .line_dedup import op5_line_dedup
 from .lm_scoring import op2_lm_scoring
+from .periodic_runs import op13_periodic_runs
 from .quality_rules import op9_quality_rules
 from .quotations import op4_quotations
 from .secret_scan import op6_secret_scan
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {}
