@@ -83,19 +83,19 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def join_with_hot_keys(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int, share: int = 1000, least: int = 1000) -> DataFrame:
+def join_with_hot_keys(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int, share: int = 1000, least: int = 1000, small: int = 1_000_000) -> DataFrame:
     """Inner join of ``rows`` with ``per_key``, which has one row for each key and tells in ``n`` how many rows have it.
 
     A key with over a thousandth of the ``total`` rows (and over ``least``)
     would fill one task; there are at most ``share`` such keys, so these are
-    broadcast and the rest is shuffled. ``per_key`` is a written table, as it
-    is read several times.
+    broadcast and the rest is shuffled, unless ``per_key`` has at most
+    ``small`` rows. ``per_key`` is a written table, as it is read several times.
     """
     least = max(total // share, least)
     hot = F.broadcast(per_key.where(F.col(n) > least).limit(share))
     if not hot.limit(1).count():
-        return rows.join(broadcast_if_small(per_key), key)
-    cold = rows.join(hot.select(key), key, "left_anti").join(broadcast_if_small(per_key.where(F.col(n) <= least)), key)
+        return rows.join(broadcast_if_small(per_key, small), key)
+    cold = rows.join(hot.select(key), key, "left_anti").join(broadcast_if_small(per_key.where(F.col(n) <= least), small), key)
     return rows.join(hot, key).unionByName(cold)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from .decontamination import op3_decontamination
 from .line_dedup import op5_line_dedup
 from .lm_scoring import op2_lm_scoring
+from .merkle import SQL as MERKLE_SQL
+from .merkle import op12_merkle_manifest
 from .periodic_runs import op13_periodic_runs
 from .quality_rules import op9_quality_rules
 from .quotations import op4_quotations
@@ -25,7 +27,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_merkle_manifest": MERKLE_SQL}
