@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_cnn import op11_quality_classifier
 from .decontamination import op3_decontamination
 from .line_dedup import op5_line_dedup
 from .lm_scoring import op2_lm_scoring
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
