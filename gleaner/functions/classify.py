@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import collapsed, first_match, half_up
+from .rules import collapsed, first_match, half_up, java, literal_of, matches, once
 
 # How sources name a round, in the order in which they are tried.
 STATED_STAGES = (
@@ -48,18 +48,27 @@ def scored_labels(text: Column, rules: Mapping[str, Sequence[tuple[str, int]]])
 
     Equal scores keep the order of ``rules``.
     """
-    scored = [F.struct(sum((F.when(text.rlike(p), w).otherwise(0) for p, w in patterns), F.lit(0)).alias("score"), F.lit(-rank).alias("rank"), F.lit(label).alias("label")) for rank, (label, patterns) in enumerate(rules.items())]
-    return F.sort_array(F.array(*scored), asc=False)
+
+    def scores(x: Column) -> Column:
+        # Most patterns hold a literal that most texts lack, and looking for that is far quicker.
+        hit = lambda p: x["low"].contains(literal_of(p)) & matches(x["text"], p) if literal_of(p) else matches(x["text"], p)
+        each = [F.struct(sum((F.when(hit(p), w).otherwise(0) for p, w in patterns), F.lit(0)).alias("score"), F.lit(-rank).alias("rank"), F.lit(label).alias("label")) for rank, (label, patterns) in enumerate(rules.items())]
+        return F.sort_array(F.array(*each), asc=False)
+
+    return once(F.struct(text.alias("text"), F.lower(text).alias("low")), scores)
 
 
 def classified(text: Column, rules: Mapping[str, Sequence[tuple[str, int]]], least: int = 3) -> Column:
     """struct<label, score, confidence>: the best label, if it scores enough, and how far it is ahead."""
-    ranked = scored_labels(text, rules)
-    top, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))["score"]
-    ahead = F.when(top["score"] > 0, (top["score"] - F.coalesce(second, F.lit(0))) / top["score"]).otherwise(0.0)
-    confidence = half_up(0.5 * F.least(F.lit(1.0), top["score"] / 6) + 0.5 * ahead, 2)
-    enough = top["score"] >= least
-    return F.struct(F.when(enough, top["label"]).alias("label"), top["score"].alias("score"), F.when(enough, confidence).otherwise(0.0).alias("confidence"))
+
+    def best(ranked: Column) -> Column:
+        top, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))["score"]
+        ahead = F.when(top["score"] > 0, (top["score"] - F.coalesce(second, F.lit(0))) / top["score"]).otherwise(0.0)
+        confidence = half_up(0.5 * F.least(F.lit(1.0), top["score"] / 6) + 0.5 * ahead, 2)
+        enough = top["score"] >= least
+        return F.struct(F.when(enough, top["label"]).alias("label"), top["score"].alias("score"), F.when(enough, confidence).otherwise(0.0).alias("confidence"))
+
+    return once(scored_labels(text, rules), best)
 
 
 def does_and_pays(text: Column, does: Sequence[str], pays: Sequence[str]) -> Column:
@@ -71,11 +80,11 @@ def does_and_pays(text: Column, does: Sequence[str], pays: Sequence[str]) -> Col
 
 def flags(text: Column, rules: Sequence[tuple[str, str]] = INJECTION_FLAGS) -> Column:
     """Labels of all rules that match, in order."""
-    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(label)) for label, p in rules)))
+    return F.array_compact(F.array(*(F.when(matches(text, p), F.lit(label)) for label, p in rules)))
 
 
 def without_secrets(text: Column) -> Column:
-    return F.regexp_replace(text, SECRET, "[redacted]")
+    return F.regexp_replace(text, java(SECRET), "[redacted]")
 
 
 def sanitised(text: Column, most: int = 8000) -> Column:
@@ -84,7 +93,7 @@ def sanitised(text: Column, most: int = 8000) -> Column:
     The cut is the feature: it bounds what is shown to a model.
     """
     s = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
-    s = F.regexp_replace(s, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
+    s = F.regexp_replace(s, java(r"(?is)<(script|style)\b[^>]*>.*?</\1>"), " ")
     s = F.regexp_replace(s, "[​-‏  ⁠﻿]", "")
     return F.substring(collapsed(s), 1, most)
 
@@ -109,11 +118,11 @@ def sentences(text: Column) -> Column:
 
 
 def traction_claims(text: Column, pattern: str = r"(?i)\b(?:customers|users|revenue|arr|mrr|contracts?|pilots?|growth)\b") -> Column:
-    return F.filter(sentences(text), lambda s: s.rlike(pattern) & s.rlike(r"\d"))
+    return F.filter(sentences(text), lambda s: matches(s, pattern) & s.rlike(r"\d"))
 
 
 def operating_level(html_text: Column, parked: Column, mentions: Column) -> Column:
     """How much a page tells of an operating company."""
     n = F.length(html_text)
-    offers = html_text.rlike(r"(?i)\b(?:platform|product|solution|service|software|customers?|pricing|demo)\b")
+    offers = matches(html_text, r"(?i)\b(?:platform|product|solution|service|software|customers?|pricing|demo)\b")
     return F.when(parked, "parked").when(n < 200, "thin").when(~mentions, "unrelated").when((n >= 500) & offers, "substantive").otherwise("identity-only")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import java
+
 # Accelerator seasons and the month in which each starts.
 SEASON_MONTH = {"W": "01", "SP": "04", "X": "04", "S": "06", "F": "09"}
 #: Ways in which sources write a date, tried in order; a leading weekday is passed over.
@@ -56,14 +58,15 @@ def month_of(at: Column) -> Column:
 
 def batch_date(batch: Column) -> Column:
     """The day from which a batch such as W25 or SP24 counts; null for other text."""
-    season, year = F.upper(F.regexp_extract(batch, r"(?i)^\s*(W|SP|S|F|X)\s?'?(\d{2})\b", 1)), F.regexp_extract(batch, r"(?i)^\s*(W|SP|S|F|X)\s?'?(\d{2})\b", 2)
+    pattern = java(r"(?i)^\s*(W|SP|S|F|X)\s?'?(\d{2})\b")
+    season, year = F.upper(F.regexp_extract(batch, pattern, 1)), F.regexp_extract(batch, pattern, 2)
     month = F.element_at(F.create_map(*(F.lit(x) for kv in SEASON_MONTH.items() for x in kv)), F.nullif(season, F.lit("")))
     return F.to_date(F.concat(F.lit("20"), F.nullif(year, F.lit("")), F.lit("-"), month, F.lit("-01")))
 
 
 def batch_year(accelerator: Column) -> Column:
     """The year of the batch that an accelerator's name carries; null without one."""
-    year = F.regexp_extract(accelerator, r"(?i)\b(?:W|S|F|Sp|X)(\d{2})\b", 1)
+    year = F.regexp_extract(accelerator, java(r"(?i)\b(?:W|S|F|Sp|X)(\d{2})\b"), 1)
     return F.nullif(year, F.lit("")).cast("int") + 2000
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .entities import possessive
 from .names import company_key
-from .rules import collapsed, trimmed
+from .rules import collapsed, java, matches, trimmed
 from .urls import host
 
 # Verbs that state a raise, amounts, and rounds.
@@ -77,8 +77,8 @@ def stated_amount(digits: Column, unit: Column, symbol: Column) -> Column:
 
 
 def _amount_of(text: Column) -> Column:
-    part = lambda k: F.regexp_extract(text, RAISE, k)
-    return F.when(text.rlike(RAISE), stated_amount(part(3), part(4), part(2)))
+    part = lambda k: F.regexp_extract(text, java(RAISE), k)
+    return F.when(text.rlike(java(RAISE)), stated_amount(part(3), part(4), part(2)))
 
 
 _RAISE = "struct<subject:string,amount:struct<usd:double,text:string>>"
@@ -87,39 +87,39 @@ _RAISE = "struct<subject:string,amount:struct<usd:double,text:string>>"
 def stated_raise(text: Column) -> Column:
     """struct<subject, amount> of "<subject> raises <amount or round>"; null if the text says no such thing."""
     amount = _amount_of(text)
-    with_amount = F.struct(F.regexp_extract(text, RAISE, 1).alias("subject"), amount.alias("amount")).cast(_RAISE)
-    without = F.struct(F.regexp_extract(text, RAISE_NO_AMOUNT, 1).alias("subject"), F.lit(None).alias("amount")).cast(_RAISE)
-    return F.when(amount.isNotNull(), with_amount).when(text.rlike(RAISE_NO_AMOUNT), without)
+    with_amount = F.struct(F.regexp_extract(text, java(RAISE), 1).alias("subject"), amount.alias("amount")).cast(_RAISE)
+    without = F.struct(F.regexp_extract(text, java(RAISE_NO_AMOUNT), 1).alias("subject"), F.lit(None).alias("amount")).cast(_RAISE)
+    return F.when(amount.isNotNull(), with_amount).when(text.rlike(java(RAISE_NO_AMOUNT)), without)
 
 
 def disqualified(scope: Column, has_equity: Column, has_subject: Column) -> Column:
     """The code of the first rule that makes a text no raise; debt beside equity and deals of a named raiser are none."""
     spared = {"debt-or-project-finance": has_equity, "acquisition-without-financing": has_subject}
-    return F.coalesce(*(F.when(scope.rlike(p) & ~spared.get(code, F.lit(False)), F.lit(code)) for code, p in DISQUALIFIERS))
+    return F.coalesce(*(F.when(matches(scope, p) & ~spared.get(code, F.lit(False)), F.lit(code)) for code, p in DISQUALIFIERS))
 
 
 def round_of(text: Column) -> Column:
-    raw = F.lower(F.regexp_extract(text, ROUND, 1))
-    return F.when(raw == "", None).when(raw.startswith("pre"), "Pre-seed").when(raw.startswith("series"), F.concat(F.lit("Series "), F.upper(F.regexp_extract(text, ROUND, 2)))).otherwise(F.initcap(raw))
+    raw = F.lower(F.regexp_extract(text, java(ROUND), 1))
+    return F.when(raw == "", None).when(raw.startswith("pre"), "Pre-seed").when(raw.startswith("series"), F.concat(F.lit("Series "), F.upper(F.regexp_extract(text, java(ROUND), 2)))).otherwise(F.initcap(raw))
 
 
 def investors_of(text: Column, most: int = 8) -> Column:
     """Investors where they are named: leads first, then others."""
 
     def named(pattern: str) -> Column:
-        said = F.get(F.split(collapsed(F.regexp_extract(text, pattern, 1)), NEXT_CLAUSE), F.lit(0))
-        said = F.regexp_replace(said, r"\b[A-Z][\w.-]*(?:\s+[A-Z][\w.-]*)?[’']s\s+", "")
-        parts = F.split(F.regexp_replace(said, LEGAL_SUFFIX, " $1"), r",\s*|\s+and\s+|\s*&\s*")
-        parts = F.transform(parts, lambda p: trimmed(F.regexp_replace(trimmed(F.regexp_replace(p, r"(?i)^(?:existing\s+investors?\s+)", "")), r"(?i)\s+(?:which|who|that)\b.*\z", "")))
-        return F.filter(parts, lambda p: F.length(p).between(2, 60) & ~p.rlike(NOT_AN_INVESTOR) & p.rlike("[A-Z]"))
+        said = F.get(F.split(collapsed(F.regexp_extract(text, java(pattern), 1)), java(NEXT_CLAUSE)), F.lit(0))
+        said = F.regexp_replace(said, java(r"\b[A-Z][\w.-]*(?:\s+[A-Z][\w.-]*)?[’']s\s+"), "")
+        parts = F.split(F.regexp_replace(said, java(LEGAL_SUFFIX), " $1"), r",\s*|\s+and\s+|\s*&\s*")
+        parts = F.transform(parts, lambda p: trimmed(F.regexp_replace(trimmed(F.regexp_replace(p, r"(?i)^(?:existing\s+investors?\s+)", "")), java(r"(?i)\s+(?:which|who|that)\b.*\z"), "")))
+        return F.filter(parts, lambda p: F.length(p).between(2, 60) & ~p.rlike(java(NOT_AN_INVESTOR)) & p.rlike("[A-Z]"))
 
     return F.slice(F.array_distinct(F.concat(named(INVESTOR_LEAD), named(INVESTOR_ALSO))), 1, most)
 
 
 def headquarters(text: Column) -> Column:
     """struct<city, state>, where the text says so."""
-    state = F.regexp_extract(text, HEADQUARTERS, 2)
-    return F.struct(F.nullif(trimmed(F.regexp_extract(text, HEADQUARTERS, 1)), F.lit("")).alias("city"), F.when(state.isin(*US_STATES), state).alias("state"))
+    state = F.regexp_extract(text, java(HEADQUARTERS), 2)
+    return F.struct(F.nullif(trimmed(F.regexp_extract(text, java(HEADQUARTERS), 1)), F.lit("")).alias("city"), F.when(state.isin(*US_STATES), state).alias("state"))
 
 
 def _tidy(span: Column) -> Column:
@@ -134,11 +134,11 @@ def name_in(candidate: Column) -> Column:
     code = (
         F.when(F.length(span) < 2, "company-name-not-extractable")
         .when(possessive(span)["kind"] != "none", "company-name-is-person")
-        .when(span.rlike(DESCRIPTOR_HEAD) | span.rlike(DESCRIPTOR_TAIL) | (F.length(name) < 2), "company-name-is-descriptor")
-        .when(name.rlike(LEGAL_SUFFIX_ONLY), "company-name-not-extractable")
-        .when(name.rlike(r"(?i)^\w+ing\b") & name.contains(" "), "company-name-is-descriptor")
-        .when(name.rlike(CLAUSE_WORD) | name.rlike(DESCRIPTOR_TAIL) | (n_words > 4), "company-name-is-descriptor")
-        .when((n_words == 1) & ((F.length(name) < 3) | name.rlike(BARE_ABBREVIATION)), "company-name-not-extractable")
+        .when(span.rlike(java(DESCRIPTOR_HEAD)) | span.rlike(java(DESCRIPTOR_TAIL)) | (F.length(name) < 2), "company-name-is-descriptor")
+        .when(name.rlike(java(LEGAL_SUFFIX_ONLY)), "company-name-not-extractable")
+        .when(matches(name, r"(?i)^\w+ing\b") & name.contains(" "), "company-name-is-descriptor")
+        .when(name.rlike(java(CLAUSE_WORD)) | name.rlike(java(DESCRIPTOR_TAIL)) | (n_words > 4), "company-name-is-descriptor")
+        .when((n_words == 1) & ((F.length(name) < 3) | name.rlike(java(BARE_ABBREVIATION))), "company-name-not-extractable")
     )
     return F.struct(name.alias("name"), code.alias("code"))
 
@@ -151,8 +151,8 @@ def company_of(subject: Column) -> Column:
     it. ``code`` tells why the first of these failed, if all do.
     """
     s = F.regexp_replace(collapsed(F.regexp_replace(subject, r"(?i)^(?:exclusive|breaking|report|scoop|update)\s*[:,-]\s*", "")), r"[,;:]\z", "")
-    marks = F.regexp_extract_all(s, F.lit(DESCRIPTOR_MID), F.lit(0))
-    pieces = F.split(s, DESCRIPTOR_MID, -1)
+    marks = F.regexp_extract_all(s, F.lit(java(DESCRIPTOR_MID)), F.lit(0))
+    pieces = F.split(s, java(DESCRIPTOR_MID), -1)
     n = F.size(marks)
     # After the k-th mark: the pieces from there, with the marks between them.
     rest = F.zip_with(F.slice(pieces, F.lit(2), n), F.concat(F.slice(marks, F.lit(2), n), F.array(F.lit(""))), lambda p, m: F.concat(p, m))
@@ -179,14 +179,14 @@ def funding_events(items: DataFrame, today: Column) -> DataFrame:
     first_two = F.array_join(F.slice(F.split(F.col("_body"), r"(?<=[.!?])\s"), 1, 2), " ")
     d = d.withColumns({"_lead": F.concat("_title", F.lit(". "), F.substring("_body", 1, OPENING)), "_said": stated_raise(F.col("_title")), "_first": first_two})
     d = d.withColumn("_late", F.when(F.col("_said").isNull(), _amount_of(F.col("_first"))))
-    d = d.withColumns({"_subject": F.coalesce("_said.subject", F.when(F.col("_late").isNotNull(), F.regexp_extract("_first", RAISE, 1))), "_amount": F.coalesce("_said.amount", "_late")})
+    d = d.withColumns({"_subject": F.coalesce("_said.subject", F.when(F.col("_late").isNotNull(), F.regexp_extract("_first", java(RAISE), 1))), "_amount": F.coalesce("_said.amount", "_late")})
     has_subject = F.col("_subject").isNotNull()
     scope = F.when(has_subject, F.col("_title")).otherwise(F.col("_lead"))
-    d = d.withColumns({"_scope": scope, "_equity": F.col("_lead").rlike(EQUITY_LANGUAGE), "_company": company_of(F.coalesce("_subject", F.lit(""))), "_round": round_of(F.col("_lead"))})
+    d = d.withColumns({"_scope": scope, "_equity": F.col("_lead").rlike(java(EQUITY_LANGUAGE)), "_company": company_of(F.coalesce("_subject", F.lit(""))), "_round": round_of(F.col("_lead"))})
     age = F.date_diff(today, F.col("published_at").cast("date"))
     rejection = F.coalesce(
         disqualified(F.col("_scope"), F.col("_equity"), has_subject),
-        F.when(~has_subject, F.when(F.col("_lead").rlike(FINANCING_LANGUAGE), "financing-not-attributed").otherwise("no-financing-language")),
+        F.when(~has_subject, F.when(F.col("_lead").rlike(java(FINANCING_LANGUAGE)), "financing-not-attributed").otherwise("no-financing-language")),
         F.col("_company.code"),
         F.when(F.col("_amount").isNull() & F.col("_round").isNull(), "no-amount-or-round-stated"),
         F.when(F.col("published_at").isNull(), "no-announcement-date"),

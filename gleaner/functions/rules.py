@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import re
+from collections.abc import Callable, Iterable, Mapping
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,14 +13,76 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)\s"
 
 
+_TOKEN = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?[a-zA-Z]+\)|\{[\d,]+\}|.", re.S)
+_WORD = "[0-9A-Za-z_]"
+
+
+def _is_word(token: str) -> bool:
+    return token in (r"\w", r"\d") or re.fullmatch(_WORD, token) is not None
+
+
+@lru_cache(1000)
+def java(pattern: str) -> str:
+    r"""``pattern`` with ``\b`` between ASCII words and anything else, accented letters included.
+
+    Java's own boundary knows letters of all scripts, so that ``\bAI\b`` would
+    not be in "AIÊ"; rules are written for boundaries of ASCII words. Where the
+    token beside is a word character, one look suffices.
+    """
+    tokens = _TOKEN.findall(pattern)
+    out = []
+    for i, token in enumerate(tokens):
+        if token != r"\b":
+            out.append(token)
+            continue
+        after, then = (*tokens[i + 1 : i + 3], "", "")[:2]
+        if i + 1 < len(tokens) and _is_word(after) and then[:1] not in ("?", "*", "{"):
+            out.append(f"(?<!{_WORD})")
+        elif i and _is_word(tokens[i - 1]):
+            out.append(f"(?!{_WORD})")
+        else:
+            out.append(f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))")
+    return "".join(out)
+
+
+@lru_cache(1000)
+def literal_of(pattern: str) -> str:
+    """The longest literal that whatever ``pattern`` matches must hold, in lower case; empty if there is none to be sure of."""
+    best, run, depth = "", "", 0
+    tokens = [t for t in _TOKEN.findall(pattern) if not t.startswith("(?") or not t.endswith(")") or len(t) > 5]
+    for i, token in enumerate(tokens):
+        then = tokens[i + 1] if i + 1 < len(tokens) else ""
+        if token == "|" and not depth:
+            return ""
+        depth += {"(": 1, ")": -1}.get(token, 0)
+        if not depth and re.fullmatch(r"[0-9A-Za-z &-]", token) and then[:1] not in ("?", "*", "{"):
+            run += token
+            best = max(best, run, key=len)
+            if then != "+":
+                continue
+        if token != r"\b":
+            run = ""
+    return best.lower()
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Whether ``text`` has a match, with boundaries of ASCII words."""
+    return text.rlike(java(pattern))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_match(text: Column, rules: Iterable[tuple[str, str]], default: str | None = None) -> Column:
     """The label of the first (label, pattern) that ``text`` matches; null text matches none."""
-    return F.coalesce(*(F.when(text.rlike(p), F.lit(label)) for label, p in rules), F.lit(default).cast("string"))
+    return F.coalesce(*(F.when(matches(text, p), F.lit(label)) for label, p in rules), F.lit(default).cast("string"))
 
 
 def matched_text(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
     """What the first matching pattern matched."""
-    return F.coalesce(*(F.when(text.rlike(p), F.regexp_extract(text, p, 0)) for _, p in rules), F.lit(None).cast("string"))
+    return F.coalesce(*(F.when(matches(text, p), F.regexp_extract(text, java(p), 0)) for _, p in rules), F.lit(None).cast("string"))
 
 
 def lookup(key: Column, table: Mapping[str, object], default: object = None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .classify import classified
-from .rules import lookup
+from .rules import lookup, once
 
 STRONG, WEAK = 3, 1
 # Patterns by sector; a strong one counts three, a weak one counts one. Upper case is meant where no (?i) is.
@@ -107,8 +107,8 @@ def sector_of(*texts: Column, least: int = STRONG) -> Column:
 
 def subvertical_of(sector: Column, text: Column) -> Column:
     """What of its sector a text is about; null if nothing special shows."""
-    low = F.lower(text)
-    return F.coalesce(*(F.when((sector == s) & low.rlike(p), F.lit(label)) for s, rows in SUBVERTICALS.items() for label, p in rows))
+    found = lambda low, rows: F.coalesce(*(F.when(low.rlike(p), F.lit(label)) for label, p in rows))
+    return once(F.lower(text), lambda low: F.coalesce(*(F.when(sector == s, found(low, rows)) for s, rows in SUBVERTICALS.items())))
 
 
 def sector_id(raw: Column) -> Column:

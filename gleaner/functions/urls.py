@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import collapsed
+from .rules import collapsed, java
 
 #: Hosts that no outside page can be on.
 PRIVATE_HOST = r"^(localhost|.*\.local|.*\.internal|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|0\.0\.0\.0|\[?::1\]?)$"
@@ -64,7 +64,7 @@ def readable_text(html: Column) -> Column:
     """A page's text: scripts, styles, comments and tags gone, common entities as spaces."""
     s = html
     for tag in ("script", "style", "noscript", "template"):
-        s = F.regexp_replace(s, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
+        s = F.regexp_replace(s, java(rf"(?is)<{tag}\b[^>]*>.*?</{tag}>"), " ")
     s = F.regexp_replace(F.regexp_replace(s, r"(?s)<!--.*?-->", " "), r"<[^>]+>", " ")
     s = F.regexp_replace(s, r"(?i)&(?:nbsp|amp|quot|#39|lt|gt);", " ")
     return collapsed(s)
@@ -72,8 +72,8 @@ def readable_text(html: Column) -> Column:
 
 def block_text(html: Column) -> Column:
     """One line per block, without addresses."""
-    s = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
-    s = F.regexp_replace(F.regexp_replace(s, r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|section|tr|td)\b[^>]*>", "\n"), r"<[^>]+>", " ")
+    s = F.regexp_replace(html, java(r"(?is)<(script|style)\b[^>]*>.*?</\1>"), " ")
+    s = F.regexp_replace(F.regexp_replace(s, java(r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|section|tr|td)\b[^>]*>"), "\n"), r"<[^>]+>", " ")
     return F.regexp_replace(F.regexp_replace(s, r"https?://\S+", ""), r"[ \t]*\n\s*", "\n")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import half_up, lookup
+from ..functions.rules import half_up, lookup, matches
 
 # How strong each source is; others are third tier.
 SOURCE_TIER = {"sec": 1, "grants": 1, "yc": 1, "funding-news": 2, "investor-news": 2, "producthunt": 2, "upload": 2, "github": 3, "research": 3, "websites": 3}
@@ -110,7 +110,7 @@ def founder_status(candidates: DataFrame, key: str = "company_id") -> DataFrame:
     """
     sure = F.col("authoritative") & F.col("title").isNotNull() & (F.col("match_score") >= 7) & ~F.col("director")
     likely = F.col("match_score") >= 5
-    roles = candidates.where(sure & F.lower("title").rlike(r"\b(ceo|chief executive|cto|chief technology)\b")).groupBy(key, F.lower("title").alias("role")).agg(F.count_distinct("person_key").alias("n"))
+    roles = candidates.where(sure & matches(F.lower("title"), r"\b(ceo|chief executive|cto|chief technology)\b")).groupBy(key, F.lower("title").alias("role")).agg(F.count_distinct("person_key").alias("n"))
     clashes = roles.where("n > 1").select(key).distinct().withColumn("clash", F.lit(True))
     order = F.struct("match_score", F.col("person_key"))
     per = candidates.groupBy(key).agg(F.count_if(sure).alias("sure"), F.count_if(likely).alias("likely"), F.count(F.lit(1)).alias("n"), F.max_by("person_key", order).alias("best_person"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import batch_year
 from ..functions.money import amount_usd
 from ..functions.names import is_full_name
-from ..functions.rules import clamp, collapsed, known, lookup
+from ..functions.rules import clamp, collapsed, known, lookup, matches
 from ..functions.urls import normal_domain
 from .decisions import tier_of
 
@@ -160,7 +160,7 @@ def deal_evidence(candidates: DataFrame) -> DataFrame:
 
 def founder_slots(founders: Column, most: int = 5) -> Column:
     """The first ``most`` founders with a full name, without roles that say nothing; more than that has no slot."""
-    fits = F.filter(founders, lambda f: is_full_name(f["name"]) & ~f["name"].rlike(r"(?i)\bunknown\b"))
+    fits = F.filter(founders, lambda f: is_full_name(f["name"]) & ~matches(f["name"], r"(?i)\bunknown\b"))
     return F.slice(F.transform(fits, lambda f: F.struct(f["name"].alias("name"), job_title(f["role"]).alias("job_title"))), 1, most)
 
 

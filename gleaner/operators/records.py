@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import domain_stem, name_tokens
+from ..functions.rules import matches
 from ..functions.urls import domain_key, host
 
 # Outcomes of research that answer the question asked.
@@ -95,7 +96,7 @@ def host_belongs(url: Column, name: Column) -> Column:
 
 
 def is_placeholder(name: Column) -> Column:
-    return (F.trim(F.coalesce(name, F.lit(""))) == "") | F.coalesce(name, F.lit("")).rlike(r"(?i)\bunknown\b")
+    return (F.trim(F.coalesce(name, F.lit(""))) == "") | matches(F.coalesce(name, F.lit("")), r"(?i)\bunknown\b")
 
 
 def resolved_founders(existing: Column, found: Column) -> Column:

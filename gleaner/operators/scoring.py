@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import clamp, half_up, lookup
+from ..functions.rules import clamp, half_up, lookup, matches
 
 # Points by stage.
 STAGE_POINTS = {
@@ -59,7 +59,7 @@ def components(today: Column, subcategories: Mapping[str, str], preferred_states
         component("thesis", thesis, sub.isNotNull() | researched),
         component("stage", lookup(F.col("stage"), STAGE_POINTS, 5), ~F.col("stage").isin(*UNKNOWABLE_STAGES)),
         component("mission", F.least(mission, F.lit(15)), F.size(identity) > 0),
-        component("traction", clamp(half_up(F.col("traction.level")), 0, 10), (F.col("traction.level") > 0) | ~note.rlike(r"(?i)^unknown|not yet researched|\bunrated\b")),
+        component("traction", clamp(half_up(F.col("traction.level")), 0, 10), (F.col("traction.level") > 0) | ~matches(note, r"(?i)^unknown|not yet researched|\bunrated\b")),
         component("founder", F.least(founder, F.lit(10)), named | (F.size(past) > 0)),
         component("geo", F.when(F.col("state").isin(*preferred_states), 10).when(F.col("state") == "??", 2).otherwise(4), F.col("state") != "??"),
         component("funding", F.least(funding, F.lit(5)), funded | funded_at.isNotNull()),

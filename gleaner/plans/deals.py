@@ -9,8 +9,10 @@ from ..functions import funding as E
 from ..functions import sectors as S
 from ..functions.classify import INJECTION_FLAGS, STATED_STAGES, flags, stage_of
 from ..functions.dates import batch_year
+from ..functions.entities import DESCRIPTOR, FUND_NAMES
 from ..functions.names import note_body
 from ..functions.places import city_and_state, state_code
+from ..functions.rules import matches
 from ..functions.urls import filing_index_url
 from ..operators import leads as L
 from ..operators import qualification as Q
@@ -75,7 +77,7 @@ def stated_raises(t: Tables) -> DataFrame:
     """What headlines state, and what disqualifies them."""
     d = _news(t).withColumn("lead", F.concat("title", F.lit(". "), F.substring("description", 1, E.OPENING))).withColumn("said", E.stated_raise(F.col("title")))
     named = F.col("said").isNotNull()
-    d = d.withColumns({"scope": F.when(named, F.col("title")).otherwise(F.col("lead")), "equity": F.col("lead").rlike(E.EQUITY_LANGUAGE), "hq": E.headquarters(F.col("lead"))})
+    d = d.withColumns({"scope": F.when(named, F.col("title")).otherwise(F.col("lead")), "equity": matches(F.col("lead"), E.EQUITY_LANGUAGE), "hq": E.headquarters(F.col("lead"))})
     return d.select(
         "doc_id", E.disqualified(F.col("scope"), F.col("equity"), named).alias("code"), F.col("said.subject").alias("subject"), F.col("said.amount.usd").alias("usd"), F.col("said.amount.text").alias("amount_text"),
         E.round_of(F.col("lead")).alias("round_type"), F.col("hq.city").alias("city"), F.col("hq.state").alias("state"),
@@ -130,19 +132,31 @@ max(d) AS newest, count(DISTINCT CASE WHEN NOT own THEN account END) > 0 AND coa
 j AS (SELECT c_custkey AS company_id, coalesce(n_sources, 0) AS n_sources, coalesce(self_published, 0) AS self_published, coalesce(strong_financing, FALSE) AS strong_financing, newest, coalesce(only_regulatory, FALSE) AS only_regulatory FROM customer LEFT JOIN v ON company_id = c_custkey)"""
 
 
+_ISSUERS = f"""x AS (SELECT c_custkey AS company_id, replace({_pick(_ORGS, "c_custkey")}, '{{k}}', c_custkey::VARCHAR) AS name, CASE WHEN c_custkey % 5 <> 4 THEN 'https://c' || c_custkey || '.example.com' END AS website, CASE WHEN c_custkey % 5 <> 4 THEN {_pick(_LEVELS, "c_custkey")} END AS level,
+c_custkey % 3 = 0 AS verified, CASE c_custkey % 4 WHEN 0 THEN 'Unknown — pitch not yet verified' WHEN 1 THEN 'Short' ELSE 'Software for clinics and their patients' END AS one_liner, CASE WHEN c_custkey % 7 = 0 THEN '??' ELSE 'NY' END AS state, {_pick(_SOURCES, "c_custkey")} AS found_by,
+CASE WHEN c_custkey % 23 = 0 THEN ['ACME'] ELSE [] END AS tickers, CASE WHEN c_custkey % 29 = 0 THEN ['S-1', '10-K'] ELSE ['S-1'] END AS forms FROM customer),
+s AS (SELECT *, len(list_filter(tickers, lambda t: t <> '')) > 0 AS ticker, len(list_filter(forms, lambda f: regexp_matches(f, '^10-[KQ]$'))) > 0 AS periodic, regexp_extract(trim(name), '^(.*?)[’'']s\\s+(.*)$', 2) AS owned FROM x)"""
+_NAMELESS = f"(owned <> '' AND (regexp_matches(owned, '^\\p{{Ll}}') OR {_has('owned', DESCRIPTOR)}))"
+# One pattern looks ahead, which RE2 can't: what follows the word must not be a legal form, of which only two are Roman numerals too.
+_AHEAD = r"(?!LLC\b|LP\b|LC\b|INC\b)(?:[IVXLCDM]{1,7}|\d{1,3})"
+_NO_FORM = lambda p: f" AND lower({_part('trim(name)', p.replace(_AHEAD, '([IVXLCDM]{1,7}|[0-9]{1,3})'), 1)}) NOT IN ('llc', 'lc')" if _AHEAD in p else ""
+_FUND_NAME = " ".join(f"WHEN {_has('trim(name)', p.replace(_AHEAD, '([IVXLCDM]{1,7}|[0-9]{1,3})'))}{_NO_FORM(p)} THEN {_q(label)}" for label, p in FUND_NAMES)
+_KIND = f"(SELECT CASE WHEN label IS NULL THEN NULL WHEN regexp_matches(label, '(?i)fund|partnership|asset|lending|manager') THEN 'fund' WHEN regexp_matches(label, '(?i)project|series|capacity|numbered') THEN 'spv' ELSE 'subsidiary' END FROM (SELECT CASE {_FUND_NAME} END AS label))"
+
+
 @query(f"WITH {_EVIDENCE} SELECT company_id, CAST(n_sources AS INTEGER) AS n_sources, self_published, strong_financing, newest, only_regulatory FROM j")
 def corroboration(t: Tables) -> DataFrame:
     found = Q.corroborations(_items(t), _issuers(t))
     return found.select("company_id", "n_sources", "self_published", "strong_financing", "newest", "only_regulatory")
 
 
-@query(f"""WITH {_EVIDENCE}, q AS (SELECT j.*, company_id % 6 = 2 AS nameless, company_id % 23 = 0 OR company_id % 29 = 0 AS traded, CASE company_id % 6 WHEN 1 THEN 'fund' WHEN 3 THEN 'spv' END AS kind,
-coalesce(date_diff('day', newest, DATE '{TODAY}') <= 365, FALSE) AS recent, CASE WHEN company_id % 5 = 4 THEN 'absent' ELSE {_pick(_LEVELS, "company_id")} END AS level, company_id % 4 > 1 AS told, company_id % 7 = 0 AS nowhere, company_id % 3 = 0 AS verified, {_pick(_SOURCES, "company_id")} AS found_by FROM j),
+@query(f"""WITH {_EVIDENCE}, {_ISSUERS}, q AS (SELECT j.*, {_NAMELESS} AS nameless, ticker OR periodic AS traded, {_KIND} AS kind, ticker, periodic,
+coalesce(date_diff('day', newest, DATE '{TODAY}') <= 365, FALSE) AS recent, coalesce(level, CASE WHEN website IS NULL THEN 'absent' ELSE 'not-checked' END) AS level, len(trim(one_liner)) > 12 AND NOT regexp_matches(one_liner, '(?i)^unknown') AS told, state = '??' AS nowhere, verified, found_by FROM j JOIN s USING (company_id)),
 r AS (SELECT *, nowhere AND found_by IN ('sec', 'grants') AND NOT verified AS foreign_one, n_sources < 2 AS few FROM q)
-SELECT company_id, CASE WHEN nameless THEN 'not-a-company-name' WHEN traded THEN 'public-company' WHEN kind = 'fund' THEN 'investment-fund' WHEN kind = 'spv' THEN 'spv-or-project-entity' WHEN NOT recent THEN 'company-lead-requires-corroboration' WHEN foreign_one AND few THEN 'unverified-foreign-entity'
+SELECT company_id, CASE WHEN nameless THEN 'not-a-company-name' WHEN traded THEN 'public-company' WHEN kind = 'fund' THEN 'investment-fund' WHEN kind = 'spv' THEN 'spv-or-project-entity' WHEN kind IS NOT NULL THEN 'corporate-subsidiary' WHEN NOT recent THEN 'company-lead-requires-corroboration' WHEN foreign_one AND few THEN 'unverified-foreign-entity'
 WHEN NOT verified AND NOT told AND few THEN 'insufficient-evidence' WHEN n_sources >= 1 AND level = 'substantive' THEN 'qualified-operating-company' WHEN level IN ('thin', 'unreachable', 'not-checked', 'undetermined', 'unrelated') AND (strong_financing OR NOT few) THEN 'human-review-required' ELSE 'company-lead-requires-corroboration' END AS result,
 CASE WHEN traded OR kind IS NOT NULL OR nameless THEN 0.0 ELSE floor(least(1.0, CASE WHEN level = 'substantive' THEN 0.4 WHEN verified THEN 0.1 ELSE 0.0 END + CASE WHEN told THEN 0.15 ELSE 0.0 END + least(0.3, n_sources * 0.15) + CASE WHEN recent THEN 0.05 ELSE 0.0 END)::DOUBLE * 100 + 0.5) / 100 END AS confidence,
-concat_ws(',', CASE WHEN nameless THEN 'name-is-not-a-company' END, 'name-matches-' || kind || '-pattern', CASE WHEN recent THEN 'filing-within-12-months' ELSE 'filing-older-than-12-months' END, CASE WHEN company_id % 23 = 0 THEN 'has-exchange-ticker' END, CASE WHEN company_id % 29 = 0 THEN 'files-periodic-reports' END,
+concat_ws(',', CASE WHEN nameless THEN 'name-is-not-a-company' END, 'name-matches-' || kind || '-pattern', CASE WHEN recent THEN 'filing-within-12-months' ELSE 'filing-older-than-12-months' END, CASE WHEN ticker THEN 'has-exchange-ticker' END, CASE WHEN periodic THEN 'files-periodic-reports' END,
 CASE WHEN only_regulatory THEN 'only-evidence-is-form-d' END, CASE WHEN self_published > 0 THEN 'self-published-evidence-excluded' END, CASE WHEN few THEN 'no-independent-corroboration' ELSE 'has-independent-corroboration' END, CASE WHEN strong_financing THEN 'strong-financing-evidence' ELSE 'no-strong-financing-evidence' END,
 CASE WHEN verified THEN 'website-verified' END, CASE level {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in Q.LEVEL_REASONS.items())} END, CASE WHEN level = 'substantive' THEN 'operating-evidence-confirmed' ELSE 'operating-evidence-unconfirmed' END, CASE WHEN told THEN 'product-or-service-described' ELSE 'no-product-description' END,
 CASE WHEN foreign_one THEN 'foreign-address-no-website' END, CASE WHEN nowhere AND NOT foreign_one THEN 'jurisdiction-not-stated' END) AS reasons FROM r""")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rules import java
+
 
 def csv_cell(value: Column) -> Column:
     """A cell that no spreadsheet takes for a formula: null is empty, line breaks are spaces."""
@@ -47,5 +49,5 @@ def snapshot(spark: SparkSession, table: DataFrame, root: str, version: str) ->
 
 def audit_view(log: DataFrame, at: str, text: str, most: int = 500) -> DataFrame:
     """The newest entries of an audit log, secrets blacked out."""
-    hidden = F.regexp_replace(text, r"(?i)\b(sk-[A-Za-z0-9_-]{8,}|Bearer\s+[A-Za-z0-9._-]{8,}|(?:api[_-]?key|token|secret|password)\s*[=:]\s*\S+)", "[redacted]")
+    hidden = F.regexp_replace(text, java(r"(?i)\b(sk-[A-Za-z0-9_-]{8,}|Bearer\s+[A-Za-z0-9._-]{8,}|(?:api[_-]?key|token|secret|password)\s*[=:]\s*\S+)"), "[redacted]")
     return log.withColumn(text, hidden).orderBy(F.col(at).desc()).limit(most)
