@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, fresh, read_table, written
+from .common import drop_written, fresh, join_with_hot_keys, read_table, written
 from .components import connected_components
 
 SEED = 42
@@ -194,12 +194,13 @@ def near_duplicates(docs: DataFrame, t: int = 2, words: int = 3, id_col: str = "
     gives no rows; other columns are left out, so none can clash.
     """
     printed = written(with_fingerprint(docs.select(F.col(id_col), F.col(text)), text, words).select(id_col, "fp"), "fingerprints")
-    firsts = written(printed.groupBy("fp").agg(F.min(id_col).alias("first")), "firsts")
+    firsts = written(printed.groupBy("fp").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
     parts = connected_components(links(firsts.select("fp"), t))
-    placed = firsts.join(parts, firsts.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    placed = firsts.join(parts, firsts.fp == parts.node, "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("component"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = placed.join(least, "component").select("fp", "component_id")
-    return printed.join(of, "fp").select(id_col, "fp", "component_id")
+    of = written(placed.join(least, "component").select("fp", "n", "component_id"), "components")
+    # Empty texts or copies of one may be a third of all rows.
+    return join_with_hot_keys(printed, of, "fp", "n", printed.count()).select(id_col, "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,3 +180,10 @@ def test_only_what_the_cache_lacks_is_encoded_and_moved(spark, tmp_path, monkeyp
         monkeypatch.setattr(K, "encode_missing", plain)
         assert asked == [set(range(20)), set(range(20, 40))]
         assert len(rows) == docs.count() and {r["n_tokens"] for r in rows} == set(K.counter(path)(texts))
+
+
+def test_quality_column_of_another_case_stays(spark):
+    with pytest.raises(ValueError):
+        Q.quality_rules(spark.createDataFrame([("a", 1)], "text string, QUALITY int"))
+    kept = Q.keep_good(spark.createDataFrame([(PROSE, 1)], "text string, QUALITY int"))
+    assert kept.columns == ["text", "QUALITY"] and kept.count() == 1

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from gleaner.llm.components import connected_components
 from gleaner.llm.simhash import anchors, fingerprint, near_duplicates, one_of_each
@@ -89,3 +90,9 @@ def test_components_of_chains_stars_and_loops(spark):
     want = {i: 0 for i in range(61)} | {100 + i: 100 for i in range(50)} | {200: 200, 201: 200}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_third_of_all_rows_without_words_or_of_one_text(spark):
+    texts = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "the very same text for all of these rows").otherwise(F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256), F.lit(" and more of it"))).alias("text"), F.lit(1).alias("N"), F.lit("x").alias("component_id"))
+    rows = near_duplicates(texts).groupBy("component_id").count().orderBy(F.desc("count"), "component_id").limit(2).collect()
+    assert [tuple(r) for r in rows] == [(0, 3000), (1, 3000)]
