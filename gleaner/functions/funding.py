@@ -92,10 +92,13 @@ def stated_raise(text: Column) -> Column:
     return F.when(amount.isNotNull(), with_amount).when(text.rlike(java(RAISE_NO_AMOUNT)), without)
 
 
-def disqualified(scope: Column, has_equity: Column, has_subject: Column) -> Column:
-    """The code of the first rule that makes a text no raise; debt beside equity and deals of a named raiser are none."""
+def disqualified(scope: Column, has_equity: Column, has_subject: Column, skip: tuple[str, ...] = ()) -> Column:
+    """The code of the first rule that makes a text no raise; debt beside equity and deals of a named raiser are none.
+
+    Rules of the codes in ``skip`` don't apply.
+    """
     spared = {"debt-or-project-finance": has_equity, "acquisition-without-financing": has_subject}
-    return F.coalesce(*(F.when(matches(scope, p) & ~spared.get(code, F.lit(False)), F.lit(code)) for code, p in DISQUALIFIERS))
+    return F.coalesce(*(F.when(matches(scope, p) & ~spared.get(code, F.lit(False)), F.lit(code)) for code, p in DISQUALIFIERS if code not in skip))
 
 
 def round_of(text: Column) -> Column:
