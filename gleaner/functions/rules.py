@@ -21,24 +21,81 @@ def _is_word(token: str) -> bool:
     return token in (r"\w", r"\d") or re.fullmatch(_WORD, token) is not None
 
 
+def _alternatives(tokens: list[str], at: int, step: int) -> list[list[str]] | None:
+    """Alternatives of the plain group that opens at (step 1) or closes at (step -1) a place; None for any other group."""
+    depth, i = 0, at
+    while 0 <= i < len(tokens):
+        depth += {"(": 1, ")": -1}.get(tokens[i], 0)
+        if not depth:
+            break
+        i += step
+    if not 0 <= i < len(tokens):
+        return None
+    inside = tokens[min(at, i) + 1 : max(at, i)]
+    if inside[:1] == ["?"]:
+        if inside[1:2] != [":"]:
+            return None
+        inside = inside[2:]
+    out, depth = [[]], 0
+    for t in inside:
+        depth += {"(": 1, ")": -1}.get(t, 0)
+        if t == "|" and not depth:
+            out.append([])
+        else:
+            out[-1].append(t)
+    return out
+
+
+def _begins(tokens: list[str], at: int) -> bool:
+    """Whether what begins at a place begins with a word character, whatever it matches."""
+    if at >= len(tokens):
+        return False
+    if tokens[at] == "(":
+        parts = _alternatives(tokens, at, 1)
+        return parts is not None and all(p and _begins(p, 0) for p in parts) and _after(tokens, at)[:1] not in ("?", "*", "{")
+    then = tokens[at + 1] if at + 1 < len(tokens) else ""
+    return _is_word(tokens[at]) and (then[:1] not in ("?", "*", "{") or then == "?" and _begins(tokens, at + 2))
+
+
+def _after(tokens: list[str], at: int) -> str:
+    depth = 0
+    for i in range(at, len(tokens)):
+        depth += {"(": 1, ")": -1}.get(tokens[i], 0)
+        if not depth:
+            return tokens[i + 1] if i + 1 < len(tokens) else ""
+    return ""
+
+
+def _ends(tokens: list[str], at: int) -> bool:
+    """Whether what ends at a place ends with a word character, whatever it matches."""
+    if at < 0:
+        return False
+    if tokens[at] == ")":
+        parts = _alternatives(tokens, at, -1)
+        return parts is not None and all(p and _ends(p, len(p) - 1) for p in parts)
+    if tokens[at] == "+":
+        return at > 0 and _is_word(tokens[at - 1])
+    if tokens[at] == "?":
+        return at > 1 and _is_word(tokens[at - 1]) and _ends(tokens, at - 2)
+    return _is_word(tokens[at])
+
+
 @lru_cache(1000)
 def java(pattern: str) -> str:
     r"""``pattern`` with ``\b`` between ASCII words and anything else, accented letters included.
 
     Java's own boundary knows letters of all scripts, so that ``\bAI\b`` would
-    not be in "AIÊ"; rules are written for boundaries of ASCII words. Where the
-    token beside is a word character, one look suffices.
+    not be in "AIÊ"; rules are written for boundaries of ASCII words. Where
+    whatever stands beside is a word character, one look suffices.
     """
     tokens = _TOKEN.findall(pattern)
     out = []
     for i, token in enumerate(tokens):
         if token != r"\b":
             out.append(token)
-            continue
-        after, then = (*tokens[i + 1 : i + 3], "", "")[:2]
-        if i + 1 < len(tokens) and _is_word(after) and then[:1] not in ("?", "*", "{"):
+        elif _begins(tokens, i + 1):
             out.append(f"(?<!{_WORD})")
-        elif i and _is_word(tokens[i - 1]):
+        elif _ends(tokens, i - 1):
             out.append(f"(?!{_WORD})")
         else:
             out.append(f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))")
