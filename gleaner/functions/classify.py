@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import collapsed, first_match, half_up, java, literal_of, matches, once
+from .rules import first_match, half_up, java, literal_of, matches, once, trimmed
 
 # How sources name a round, in the order in which they are tried.
 STATED_STAGES = (
@@ -87,15 +87,49 @@ def without_secrets(text: Column) -> Column:
     return F.regexp_replace(text, java(SECRET), "[redacted]")
 
 
+# What a reader doesn't see of a page, in the order in which it is taken out; entities; and characters without width.
+UNSEEN = (
+    r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?s)<!--.*?-->", r"(?is)<[^>]*\b(?:hidden|aria-hidden\s*=\s*[\"']?true)\b[^>]*>.*?</[^>]+>",
+    r"(?is)<[^>]*style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0)[^\"']*[\"'][^>]*>.*?</[^>]+>", r"(?i)</?[a-z][^>]*>",
+)
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "))
+NO_WIDTH = r"[\x{200B}-\x{200F}\x{2028}-\x{202F}\x{2060}-\x{2064}\x{FEFF}\x{180E}\x{00AD}]"
+
+
 def sanitised(text: Column, most: int = 8000) -> Column:
-    """Hidden markup, zero-width characters and extra white space gone, and cut to what a reader can take.
+    """struct<text, flags, truncated> of a text that a model may be shown: what is unseen gone, entities decoded, blanks narrowed.
 
-    The cut is the feature: it bounds what is shown to a model.
+    The cut is the feature: it bounds what is shown, and says so. Null is
+    the empty text.
     """
-    s = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
-    s = F.regexp_replace(s, java(r"(?is)<(script|style)\b[^>]*>.*?</\1>"), " ")
-    s = F.regexp_replace(s, "[​-‏  ⁠﻿]", "")
-    return F.substring(collapsed(s), 1, most)
+    s = F.coalesce(text, F.lit(""))
+    for p in UNSEEN:
+        s = F.regexp_replace(s, java(p), " ")
+    for entity, char in ENTITIES:
+        s = F.replace(s, F.lit(entity), F.lit(char))
+    s = trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, NO_WIDTH, ""), r"[ \t\r\f\x0B]+", " "), r"\n{3,}", "\n\n"))
+    cut = lambda x: F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit(f"\n[truncated at {most} characters]"))).otherwise(x)
+    return once(s, lambda x: F.struct(cut(x).alias("text"), flags(x).alias("flags"), (F.length(x) > most).alias("truncated")))
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; the parser itself overlooks what follows a value."""
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.try_parse_json(text).isNotNull() & alone.isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull()
+
+
+def model_json(raw: Column) -> Column:
+    """struct<json, error> of what a model answered: the JSON text in it, fenced or within prose, or why there is none."""
+    text = trimmed(F.coalesce(raw, F.lit("")))
+    fenced = F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1)
+    body = F.when(text.rlike(r"(?is)```(?:json)?\s*.*?```"), trimmed(fenced)).otherwise(text)
+
+    def found(x: Column) -> Column:
+        outer = F.regexp_extract(x, r"(?s)\{.*\}", 0)
+        return F.coalesce(F.when(is_json(x), x), F.when((outer != "") & is_json(outer), outer))
+
+    json = once(body, found)
+    return once(F.struct(json.alias("json"), (text == "").alias("empty")), lambda j: F.struct(j["json"].alias("json"), F.when(j["empty"], "empty").when(j["json"].isNull(), "not-json").alias("error")))
 
 
 def stage_of(text: Column) -> Column:
@@ -115,14 +149,3 @@ def unsupported(output: Column, allowed: Column, patterns: Sequence[str] = (r"\$
 def sentences(text: Column) -> Column:
     """Split after closing marks and at line breaks."""
     return F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
-
-
-def traction_claims(text: Column, pattern: str = r"(?i)\b(?:customers|users|revenue|arr|mrr|contracts?|pilots?|growth)\b") -> Column:
-    return F.filter(sentences(text), lambda s: matches(s, pattern) & s.rlike(r"\d"))
-
-
-def operating_level(html_text: Column, parked: Column, mentions: Column) -> Column:
-    """How much a page tells of an operating company."""
-    n = F.length(html_text)
-    offers = matches(html_text, r"(?i)\b(?:platform|product|solution|service|software|customers?|pricing|demo)\b")
-    return F.when(parked, "parked").when(n < 200, "thin").when(~mentions, "unrelated").when((n >= 500) & offers, "substantive").otherwise("identity-only")

@@ -96,11 +96,6 @@ def published_at(html: Column) -> Column:
     return F.to_date(F.nullif(F.regexp_extract(stated, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("")))
 
 
-def looks_parked(html: Column) -> Column:
-    """Whether the page's start says that nothing is there yet."""
-    return F.coalesce(F.lower(F.substring(html, 1, 20_000)).rlike(r"domain (?:is|may be) for sale|buy this domain|parked (?:free|domain)|coming soon|under construction|site not published"), F.lit(False))
-
-
 def _character(code: Column) -> Column:
     """The character of a code point, by its four bytes."""
     return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import domain_stem, name_tokens
 from ..functions.rules import matches
 from ..functions.urls import domain_key, host
 
@@ -86,15 +85,6 @@ def profile_match(slug: Column, website: Column, profile_slug: Column, profile_w
     return F.when(F.coalesce(F.lower(slug) == profile_slug, F.lit(False)), "slug").when(F.coalesce(domain_key(website) == domain_key(profile_website), F.lit(False)), "domain").otherwise("none")
 
 
-def host_belongs(url: Column, name: Column) -> Column:
-    """Whether a site's host is spelt like the issuer: one stem within the other, or one of the name's telling words in it."""
-    labels = F.split(host(url), r"\.")
-    stem = F.array_join(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), "")
-    own = domain_stem(name)
-    within = (F.length(own) >= 4) & (stem.contains(own) | own.contains(stem))
-    return F.coalesce((stem != "") & (within | F.exists(name_tokens(name), lambda t: stem.contains(t))), F.lit(False))
-
-
 def is_placeholder(name: Column) -> Column:
     return (F.trim(F.coalesce(name, F.lit(""))) == "") | matches(F.coalesce(name, F.lit("")), r"(?i)\bunknown\b")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.site_evidence import spelt_host
 from ..operators import records as R
 from .registry import Tables, query
 
@@ -69,7 +70,7 @@ def record_options(t: Tables) -> DataFrame:
     return t.customer.select(
         "c_custkey",
         R.profile_match(slug, site, F.lit("acme"), F.lit("https://acme.example.com")).alias("basis"),
-        R.host_belongs(page, F.lit("Bluecore Energy")).alias("belongs"),
+        spelt_host(page, F.lit("Bluecore Energy")).alias("belongs"),
         R.accelerator_option(F.when(k % 3 == 0, " y combinator (S21)").when(k % 3 == 1, "startx").otherwise("none of these")).alias("accelerator"),
         R.round_option(F.when(k % 3 == 0, "Seed").when(k % 3 == 1, "Series B+").otherwise("Stealth")).alias("round"),
         R.caveats(k % 2 == 0, F.array().cast("array<string>"), F.array(F.lit("x"), F.lit("y"))).alias("caveats"),

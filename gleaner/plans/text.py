@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import dates as D
 from ..functions import names as N
+from ..functions import site_evidence as E
 from ..functions import urls as U
 from ..functions.money import amount_usd, number, raise_bucket
 from ..functions.rules import first_match
+from ..functions.urls import host
 from ..operators import aggregates as A
 from ..operators.filters import EXCLUDED_BUSINESS, INACTIVE, MATURE_STAGE, eligibility, has_text, split_valid
 from ..sources.feeds import display_name, relation
@@ -232,15 +234,71 @@ def shortened_support(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", N.shortened(s).alias("support"), F.when(digits.rlike(r"^\d{1,9}(\.\d+)?$"), number(s)).alias("figure"))
 
 
-@query()
+_FLAGS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(x, '{p}') THEN '{label}' END" for label, p in C.INJECTION_FLAGS) + "], lambda f: f IS NOT NULL)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text AS x, list_filter(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s) <> '') AS parts,
+list_distinct(list_concat(regexp_extract_all(text, '\\$[\\d,.]+[kKmMbB]?'), regexp_extract_all(text, '\\d+(?:\\.\\d+)?%'))) AS figures FROM documents)
+SELECT doc_id, CAST(len(parts) AS INTEGER) AS n_sentences, array_to_string({_FLAGS}, ',') AS flags, CAST(len(list_filter(figures, lambda f: f NOT IN ('$1', '$', '1'))) AS INTEGER) AS n_unsupported FROM d""")
 def text_facts(t: Tables) -> DataFrame:
-    """Sentences, injection flags and unsupported figures: lookbehind and folds that plain SQL engines lack."""
+    """Sentences, phrases that try to instruct their reader, and figures that an allowed text doesn't hold."""
     s = F.col("text")
-    return t.documents.select("doc_id", F.size(C.sentences(s)).alias("n_sentences"), C.flags(s).alias("flags"), F.size(C.traction_claims(s)).alias("n_claims"), F.size(C.unsupported(s, F.lit("$1"))).alias("n_unsupported"), F.length(C.sanitised(s)).alias("n_sanitised"))
+    return t.documents.select("doc_id", F.size(C.sentences(s)).alias("n_sentences"), F.array_join(C.flags(s), ",").alias("flags"), F.size(C.unsupported(s, F.lit("$1"))).alias("n_unsupported"))
+
+
+def _seen_sql(column: str) -> str:
+    for p in C.UNSEEN:
+        column = f"regexp_replace({column}, '{p.replace(chr(39), chr(39) * 2)}', ' ', 'g')"
+    for entity, char in C.ENTITIES:
+        column = f"replace({column}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({column}, '{C.NO_WIDTH}', '', 'g'), '[ \\t\\r\\f\\v]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_SPACES}+|{_SPACES}+$', '', 'g')"
+
+
+@query(f"""WITH d AS (SELECT page_id, {_seen_sql("html")} AS x FROM pages) SELECT page_id, CASE WHEN len(x) > 8000 THEN md5(x[1:8000] || chr(10) || '[truncated at 8000 characters]') ELSE md5(x) END AS digest, array_to_string({_FLAGS}, ',') AS flags, len(x) > 8000 AS truncated FROM d""")
+def sanitised_pages(t: Tables) -> DataFrame:
+    """What a model may be shown of every page."""
+    shown = t.pages.withColumn("s", C.sanitised(F.col("html")))
+    return shown.select("page_id", F.md5(F.col("s.text").cast("binary")).alias("digest"), F.array_join("s.flags", ",").alias("flags"), "s.truncated")
+
+
+_WRAPS = ("{{j}}", "Sure, here it is:\n```json\n{{j}}\n```\nAnything else?", "The answer is {{j}} as asked.", "I can't help with that.", "```{{j}}```", "", "{{j}} and {{j}}")
+
+
+@query(r"""WITH e AS (SELECT event_id, json_object('user', user_id, 'value', value, 'props', props::JSON)::VARCHAR AS j FROM events),
+r AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN j WHEN 1 THEN 'Sure, here it is:' || chr(10) || '```json' || chr(10) || j || chr(10) || '```' || chr(10) || 'Anything else?' WHEN 2 THEN 'The answer is ' || j || ' as asked.' WHEN 3 THEN 'I can''t help with that.' WHEN 4 THEN '```' || j || '```' WHEN 5 THEN '' ELSE j || ' and ' || j END AS raw FROM e),
+b AS (SELECT event_id, trim(raw) AS t, CASE WHEN regexp_matches(raw, '(?is)```(?:json)?\s*.*?```') THEN trim(regexp_extract(raw, '(?is)```(?:json)?\s*(.*?)```', 1), ' ' || chr(10)) ELSE trim(raw) END AS x FROM r),
+c AS (SELECT *, CASE WHEN json_valid(x) THEN x WHEN json_valid(regexp_extract(x, '(?s)\{.*\}')) THEN regexp_extract(x, '(?s)\{.*\}') END AS j FROM b)
+SELECT event_id, CAST(json_extract(j, '$.user') AS BIGINT) AS user_id, CAST(json_extract(j, '$.props.k') AS BIGINT) AS k, CASE WHEN t = '' THEN 'empty' WHEN j IS NULL THEN 'not-json' END AS error FROM c""")
+def model_answers(t: Tables) -> DataFrame:
+    """Answers of a model that hold an event as JSON, bare, fenced, in prose or not at all."""
+    j = F.to_json(F.struct(F.col("user_id").alias("user"), "value", F.from_json("props", "struct<k:long>").alias("props")))
+    raw = F.element_at(F.array(*map(F.lit, _WRAPS)), (F.col("event_id") % len(_WRAPS) + 1).cast("int"))
+    said = t.events.withColumn("m", C.model_json(F.replace(raw, F.lit("{{j}}"), j)))
+    parsed = F.from_json("m.json", "user long, props struct<k:long>")
+    return said.select("event_id", parsed["user"].alias("user_id"), parsed["props"]["k"].alias("k"), F.col("m.error").alias("error"))
+
+
+_NAMED = "upper(label[1:1]) || label[2:]"
+_STEM = f"regexp_replace(regexp_replace(regexp_replace(lower(name), '[,.]', ' ', 'g'), '{E.LEGAL}', ' ', 'g'), '[^a-z0-9]+', '', 'g')"
+_TELLING = f"list_filter(string_split_regex(regexp_replace(lower(name), '{E.COMMON}', ' ', 'g'), '[^a-z0-9]+'), lambda w: len(w) > 3)"
+_HOLDS = lambda column, words: "len(list_filter([" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + f"], lambda w: contains({column}, w)))"
+_TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.{0,200}?)</title>', 1)"
 
 
-@query()
+@query(f"""WITH a AS (SELECT page_id, url, html, {_strip_sql("html")} AS s, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') AS h, {_TITLE} AS title FROM pages),
+b AS (SELECT *, string_split(h, '.')[1] AS label, regexp_extract(title, '[A-Za-z]+') AS w FROM a), c AS (SELECT *, CASE page_id % 3 WHEN 0 THEN {_NAMED} WHEN 1 THEN w ELSE {_NAMED} || ' Holdings, Inc.' END AS name, lower(s) AS low FROM b),
+d AS (SELECT *, {_STEM} AS stem, {_TELLING} AS words, array_to_string(string_split(h, '.')[1:greatest(len(string_split(h, '.')) - 1, 1)], '') AS hs FROM c),
+e AS (SELECT *, coalesce(hs <> '' AND ((len(stem) >= 4 AND (contains(hs, stem) OR contains(stem, hs))) OR len(list_filter(words, lambda w: contains(hs, w))) > 0), FALSE) AND ((len(stem) >= 6 AND contains(regexp_replace(low, '[^a-z0-9]+', '', 'g'), stem)) OR (len(words) > 0 AND len(list_filter(words, lambda w: NOT contains(low, w))) = 0)) AS own,
+list_filter(string_split_regex(regexp_replace(s, '([.!?])\\s+', '\\1|', 'g'), '[|•·]|\\s{{2,}}'), lambda f: trim(f) <> '') AS lines, {_HOLDS("low", E.OFFERS)} AS offers, {_HOLDS("low", E.CUSTOMERS)} AS customers, {_HOLDS("low", E.HOLDINGS)} > 0 AS holding FROM d),
+f AS (SELECT *, len(list_filter(list_transform(lines, lambda f: {{'n': len(string_split_regex(trim(f), '\\s+')), 'l': regexp_replace(lower(f), '[^a-z0-9]+', '', 'g')}}), lambda x: x.n >= 8 AND len(x.l) - CASE WHEN contains(x.l, stem) THEN len(stem) ELSE 0 END >= 30)) > 0 AS descriptive FROM e),
+g AS (SELECT *, CASE WHEN {_HOLDS("lower(html[1:20000])", E.PARKED)} > 0 OR regexp_matches(lower(trim(title)), '^(?:www\\.)?[a-z0-9-]+(?:\\.[a-z0-9-]+)+\\.?$') THEN 'parked' WHEN len(trim(regexp_replace(html, '<[^>]*>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))) < 200 THEN 'thin' WHEN NOT own THEN 'unrelated'
+WHEN (holding AND offers = 0) OR len(s) < 500 THEN 'identity-only' WHEN offers > 0 AND descriptive THEN 'substantive' WHEN offers > 0 OR descriptive THEN 'undetermined' ELSE 'identity-only' END AS level FROM f)
+SELECT page_id, level, CAST(CASE WHEN level IN ('parked', 'thin', 'unrelated') THEN 0 ELSE offers END AS INTEGER) AS n_offers, CAST(CASE WHEN level IN ('parked', 'thin', 'unrelated') THEN 0 ELSE customers END AS INTEGER) AS n_customers, CAST(len(s) AS INTEGER) AS text_length FROM g""")
 def page_signals(t: Tables) -> DataFrame:
-    s = U.readable_text(F.col("html"))
-    rows = t.pages.select("page_id", s.alias("s"), U.looks_parked(F.col("html")).alias("parked"), U.published_at(F.col("html")).alias("published_at"))
-    return rows.select("page_id", "parked", "published_at", C.operating_level(F.col("s"), F.col("parked"), F.lit(True)).alias("level"))
+    """What every page shows of an issuer that is named by its host or its title."""
+    label = F.initcap(F.substring_index(host(F.col("url")), ".", 1))
+    title = F.regexp_extract(F.regexp_extract("html", r"(?is)<title[^>]*>(.{0,200}?)</title>", 1), "[A-Za-z]+", 0)
+    k = F.col("page_id") % 3
+    rows = t.pages.withColumn("name", F.when(k == 0, label).when(k == 1, title).otherwise(F.concat(label, F.lit(" Holdings, Inc."))))
+    found = rows.withColumn("e", E.site_evidence(F.col("html"), F.col("name"), F.col("url")))
+    return found.select("page_id", "e.level", F.size("e.offers").alias("n_offers"), F.size("e.customers").alias("n_customers"), "e.text_length")

@@ -36,6 +36,11 @@ def rows_of(columns, rows):
     return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+#: Queries that SQL can't express, and the tests that hold them against plain code or worked cases.
+HELD = {
+    "component_extremes": "test_held_by_code.py", "discovery_outcomes": "test_discovery.py", "funding_events": "test_deals.py", "fuzzy_names": "test_held_by_code.py", "independent_hosts": "test_held_by_code.py",
+    "investor_events": "test_investors.py", "match_possible_tiers": "test_held_by_code.py",
+}
 NAMES = sorted(k for k in entry.queries() if not re.match(r"op\d", k) and k != "pipeline")
 
 
@@ -46,6 +51,7 @@ def test_equals_its_sql(spark, db, name):
     got = rows_of(df.columns, df.collect())
     sql = entry.oracle_sql().get(name)
     if sql is None:
+        assert os.path.exists(os.path.join(os.path.dirname(__file__), HELD[name]))
         return
     found = db.execute(sql)
     columns = [c[0] for c in found.description]
