@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.dates import in_period, week_start
 from ..functions.money import share
+from .graph import with_checkpoints
 
 
 def breakdown(rows: DataFrame, key: str, dimension: DataFrame, dim_key: str, other: str = "unassigned") -> DataFrame:
@@ -95,19 +98,39 @@ def budget_level(spent: Column, limit: Column, warn: float = 0.75, warn_again: f
     return F.when(spent >= limit, "exhausted").when(spent >= limit * warn_again, "warn-again").when(spent >= limit * warn, "warn").otherwise("ok")
 
 
-def floor_quantile(rows: DataFrame, groups: Sequence[str], value: str, p: float, into: str = "q") -> DataFrame:
-    """sorted[min(n - 1, floor(n p))] per group, without interpolation.
+def floor_quantiles(rows: DataFrame, groups: Sequence[str], value: str, quantiles: Mapping[str, float], most: int = 100_000, cells: int = 1024) -> DataFrame:
+    """sorted[min(n - 1, floor(n p))] of each group, without interpolation, in a column for each of ``quantiles``.
 
-    Values are counted first, so that a group's sort holds distinct values
-    only, and found by their running count.
+    Values are counted first. A group of up to ``most`` distinct ones is
+    sorted; for others the span of values that can hold a quantile is cut into
+    ``cells``, whose counts tell which of them does, until few enough values
+    are left. So one group may hold all rows, or all distinct values, and no
+    task sorts more than ``most``. Nulls and NaN don't count as values, null
+    groups do count; groups without values are left out.
     """
-    from pyspark.sql.window import Window
-
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    run = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
-    at = F.least(F.col("_all") - 1, F.floor(F.col("_all") * F.lit(p)))
-    return run.where((F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at)).select(*groups, F.col(value).alias(into))
+    with_checkpoints(rows.sparkSession)
+    names = [f"_g{i}" for i in range(len(groups))]
+    same = lambda a, b: reduce(lambda x, y: x & y, (a[n].eqNullSafe(b[n]) for n in names), F.lit(True))
+    keyed = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*(F.col(g).alias(n) for g, n in zip(groups, names, strict=True)), F.col(value).cast("double").alias("_x"), F.col(value).alias("_v"))
+    counts = keyed.groupBy(*names, "_x", "_v").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("_q"), F.lit(float(p)).alias("_p")) for k, p in quantiles.items())))
+    sizes = counts.groupBy(*names).agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_left"), F.min("_x").alias("_low"), F.max("_x").alias("_high")).select("*", wanted.alias("_w")).select("*", "_w.*").drop("_w")
+    spans = sizes.select(*names, "_q", F.least(F.col("_all") - 1, F.floor(F.col("_all") * F.col("_p"))).alias("_at"), "_left", "_low", "_high", F.lit(0).cast("long").alias("_below")).checkpoint()
+    inside = lambda s: counts.alias("c").join(s.alias("s"), same({n: F.col(f"c.{n}") for n in names}, {n: F.col(f"s.{n}") for n in names}) & F.col("c._x").between(F.col("s._low"), F.col("s._high"))).select("s.*", "c._x", "c._v", "c._n")
+    while True:
+        wide = spans.where((F.col("_left") > most) & (F.col("_low") < F.col("_high")))
+        if not wide.limit(1).count():
+            break
+        cell = F.least(F.floor((F.col("_x") - F.col("_low")) / (F.col("_high") - F.col("_low")) * cells), F.lit(cells - 1))
+        sums = inside(wide).groupBy(*wide.columns, cell.alias("_cell")).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_in"), F.min("_x").alias("_from"), F.max("_x").alias("_to"))
+        run = sums.withColumn("_upto", F.col("_below") + F.sum("_n").over(Window.partitionBy(*names, "_q").orderBy("_cell")))
+        hit = run.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at")))
+        narrow = hit.select(*names, "_q", "_at", F.col("_in").alias("_left"), F.col("_from").alias("_low"), F.col("_to").alias("_high"), (F.col("_upto") - F.col("_n")).alias("_below"))
+        spans = spans.where((F.col("_left") <= most) | (F.col("_low") >= F.col("_high"))).unionByName(narrow).checkpoint()
+    last = inside(spans).withColumn("_upto", F.col("_below") + F.sum("_n").over(Window.partitionBy(*names, "_q").orderBy("_x")))
+    found = last.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at")))
+    one = found.groupBy(*names).agg(*(F.max(F.when(F.col("_q") == k, F.col("_v"))).alias(k) for k in quantiles))
+    return one.select(*(F.col(n).alias(g) for g, n in zip(groups, names, strict=True)), *quantiles)
 
 
 def histogram(rows: DataFrame, code: str) -> DataFrame:

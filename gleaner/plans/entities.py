@@ -364,3 +364,17 @@ def promising_queue(t: Tables) -> DataFrame:
         F.when(k % 2 == 0, "high").alias("quality_band"), F.array(F.lit("data-moat")).alias("signals"), F.when(k % 3 == 0, 1990).otherwise(2000).alias("batch_year"),
     )
     return X.promising(rows, _today()).select("c_custkey", "needs_diligence", "eligible")
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, lower(p_type) AS v, lower(p_name) AS s FROM part), e AS (SELECT p_partkey AS name, lower(p_type) AS v, unnest([string_split(p_name, ' ')[-1], p_name || ' ' || p_brand]) AS theme, p_size FROM part WHERE p_size > 40),
+k AS (SELECT DISTINCT s FROM r), t AS (SELECT DISTINCT theme FROM e), n AS (SELECT s, theme FROM k, t WHERE contains(s, lower(theme)) OR contains(lower(theme), s)),
+c AS (SELECT s, count(DISTINCT name) AS themed, count(DISTINCT name) FILTER (p_size > 45) AS competitive, list_sort(list(DISTINCT theme)) AS shared FROM n JOIN e USING (theme) GROUP BY 1), w AS (SELECT v, count(DISTINCT name) AS n FROM e GROUP BY 1)
+SELECT id, coalesce(w.n, 0) AS same_vertical, CASE WHEN coalesce(w.n, 0) = 0 THEN 'none' WHEN w.n / (SELECT count(DISTINCT name) FROM e) >= 0.2 THEN 'high' ELSE 'moderate' END AS concentration, coalesce(themed, 0) AS themed, 0::BIGINT AS partnership, coalesce(competitive, 0) AS competitive,
+coalesce(array_to_string(shared, ','), '') AS shared_themes, CASE WHEN coalesce(w.n, 0) + coalesce(themed, 0) + coalesce(competitive, 0) > 0 THEN 'Medium' ELSE 'Low' END AS confidence FROM r LEFT JOIN c USING (s) LEFT JOIN w USING (v)""")
+def portfolio_overlaps(t: Tables) -> DataFrame:
+    """What a portfolio of the larger parts holds near every part, by type and by themes within names, either way round."""
+    themes = F.array(F.element_at(F.split("p_name", " "), -1), F.concat("p_name", F.lit(" "), "p_brand"))
+    none = F.array().cast("array<string>")
+    ours = t.part.where("p_size > 40").select(F.col("p_partkey").alias("name"), F.col("p_type").alias("vertical"), themes.alias("themes"), none.alias("partnership_themes"), F.when(F.col("p_size") > 45, themes).otherwise(none).alias("competitive_themes"))
+    found = M.portfolio_comparison(t.part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("vertical"), F.col("p_name").alias("subcategory")), ours, concentrated=0.2)
+    return found.withColumn("shared_themes", F.array_join("shared_themes", ","))

@@ -149,9 +149,7 @@ def rescore_delta(t: Tables) -> DataFrame:
 @query("""WITH q AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
 SELECT o_orderpriority, max(o_totalprice) FILTER (i = least(n - 1, floor(n * 0.5))) AS median, max(o_totalprice) FILTER (i = least(n - 1, floor(n * 0.75))) AS top_quartile FROM q GROUP BY 1""")
 def floor_quantiles(t: Tables) -> DataFrame:
-    rows = t.orders.select("o_orderpriority", "o_totalprice")
-    half, top = (A.floor_quantile(rows, ["o_orderpriority"], "o_totalprice", p, into) for p, into in ((0.5, "median"), (0.75, "top_quartile")))
-    return half.join(top, "o_orderpriority")
+    return A.floor_quantiles(t.orders, ["o_orderpriority"], "o_totalprice", {"median": 0.5, "top_quartile": 0.75})
 
 
 @query("""WITH s AS (SELECT p_type AS p_source, p_brand, CAST(p_size % 3 + 1 AS VARCHAR) AS tier FROM part), u AS (SELECT 'p_source' AS dimension, p_source AS key FROM s UNION ALL SELECT 'p_brand', p_brand FROM s UNION ALL SELECT 'tier', tier FROM s),

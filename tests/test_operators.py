@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import classify, dates, entities, money, names, quality, urls
-from gleaner.operators import decisions, filters, latest, matching, upserts
+from gleaner.operators import aggregates, decisions, filters, latest, matching, upserts
 from gleaner.operators.aggregates import independent_sources
 from gleaner.plans import QUERIES
 from gleaner.sources import feeds, writers
@@ -233,8 +233,6 @@ def test_edges_portfolio_and_filters(spark):
     edges = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (3, "c", "d"), (4, "a", "a")], "edge_id int, from_id string, to_id string")
     assert sorted(r["edge_id"] for r in matching.edges_of(edges, spark.createDataFrame([("a",), ("c",)], "node string")).collect()) == [1, 2, 3, 4]
     records = spark.createDataFrame([(1, "fin", "payment rails for banks"), (2, "fin", "soil"), (3, "bio", "payment")], "id int, vertical string, about string")
-    ours = spark.createDataFrame([("fin", "banks and payment")], "vertical string, themes string")
-    assert {r["id"] for r in matching.portfolio_overlap(records, ours, "vertical", "themes", "about").collect()} == {1}
     kept = records.where(filters.all_of(F.col("vertical") == "fin", None, filters.has_text(" SOIL ", "about")))
     assert [r["id"] for r in kept.collect()] == [2]
     said = records.select(filters.published_text(["vertical", "about"], []).alias("t")).first()["t"]
@@ -253,3 +251,32 @@ def test_independent_hosts_by_whole_pages(spark, tmp_path):
     rows = [(1, "https://a.com/1", body("one story")), (2, "https://b.com/2", body("another story")), (3, "https://c.com/3", body("one story")), (53, "https://a.com/4", body("a third story")), (4, "no url", head), (5, "no url", head)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [tuple(r) for r in QUERIES["independent_hosts"](spark, str(tmp_path)).collect()] == [("en", 4)]
+
+
+def test_contained_texts_and_portfolios(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(120)] + [None, "", "a", "payment rails", "Ärzte"]
+    a, b = (spark.createDataFrame([(w,) for w in some + some[:5]], "t string") for some in (words[:70], words[40:]))
+    got = {tuple(r) for r in matching.contained(a, b, "t", "t").collect()}
+    assert got == {(x, y) for x in words[:70] for y in words[40:] if x and y and x in y} and got
+    assert matching.contained(a.limit(0), b, "t", "t").collect() == [] == matching.contained(a, b.limit(0), "t", "t").collect()
+    records = spark.createDataFrame([(1, "Fin", "Payment rails for banks"), (2, "fin", "soil"), (3, "bio", "pay"), (4, None, None), (5, "x", "")], "id int, vertical string, subcategory string")
+    ours = spark.createDataFrame([("A", "FIN", ["payment", "Banks"], ["soil"], []), ("B", "fin", ["paying"], [], ["pay"]), ("C", "gov", [], [], None)], "name string, vertical string, themes array<string>, partnership_themes array<string>, competitive_themes array<string>")
+    rows = {r["id"]: tuple(r)[1:] for r in matching.portfolio_comparison(records, ours).collect()}
+    assert rows[1] == (2, "high", 1, 0, 1, ["Banks", "payment"], "Medium") and rows[2] == (2, "high", 0, 1, 0, [], "Medium")
+    assert rows[3] == (0, "none", 2, 0, 1, ["paying", "payment"], "Medium") and rows[4] == rows[5] == (0, "none", 0, 0, 0, [], "Low")
+
+
+@pytest.mark.parametrize("most,cells", [(100_000, 1024), (5, 3), (1, 2)])
+def test_floor_quantiles_of_groups_of_any_size(spark, most, cells):
+    rng = random.Random(most)
+    rows = [(g, rng.choice([rng.randint(0, 9), rng.random() * 10 ** rng.randint(-3, 9), -rng.random()])) for g in ["a"] * 400 + ["b"] * 7 + [None] * 60 + ["c"]] + [("a", None), ("none", None), ("a", float("nan"))]
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows], "g string, v double")
+    want = {}
+    for g in ("a", "b", "c", None):
+        values = sorted(v for k, v in rows if k == g and v is not None and v == v)
+        want[g] = tuple(values[min(len(values) - 1, int(len(values) * p))] for p in (0.0, 0.5, 0.75, 1.0))
+    got = {r["g"]: tuple(r)[1:] for r in aggregates.floor_quantiles(df, ["g"], "v", {"least": 0.0, "half": 0.5, "top": 0.75, "most": 1.0}, most, cells).collect()}
+    assert got == want
+    every = sorted(v for _, v in rows if v is not None and v == v)
+    assert [tuple(r) for r in aggregates.floor_quantiles(df, [], "v", {"half": 0.5}, most, cells).collect()] == [(every[int(len(every) * 0.5)],)]
