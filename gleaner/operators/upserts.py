@@ -30,13 +30,11 @@ def current_fields(updates: DataFrame, keys: Sequence[str], origin: str = "origi
     if manual is None:
         order = F.struct(origin_rank(F.col(origin)), F.col(seq))
         return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_v")).select(*keys, "_v.*")
-    start = updates.groupBy(*keys).agg(F.max(F.when(F.col(manual), F.col(seq))).alias("_start"))
-    later = updates.join(start, list(keys)).where(F.col("_start").isNull() | (F.col(seq) >= F.col("_start")))
+    ranked = updates.withColumn("_rank", origin_rank(F.col(origin)))
     # The override itself keeps its own rank for what comes after it.
-    base = later.withColumn("_rank", origin_rank(F.col(origin)))
-    first = F.max(F.when(F.col(seq) == F.col("_start"), F.col("_rank"))).over(Window.partitionBy(*keys))
-    allowed = base.withColumn("_floor", F.coalesce(first, F.lit(-1))).where(F.col("_rank") >= F.col("_floor"))
-    return allowed.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_rank", seq)).alias("_v")).select(*keys, "_v.*")
+    start = ranked.groupBy(*keys).agg(F.max(F.when(F.col(manual), F.struct(F.col(seq).alias("at"), "_rank"))).alias("_start"))
+    later = ranked.join(start, list(keys)).where(F.col("_start").isNull() | ((F.col(seq) >= F.col("_start.at")) & (F.col("_rank") >= F.col("_start._rank"))))
+    return later.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_rank", seq)).alias("_v")).select(*keys, "_v.*")
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], preserve: Sequence[str] = ()) -> DataFrame:

@@ -4,36 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import discovery as D
 from .events import run_in_batches
-
-
-class Store:
-    """Tables of runs in a folder, a partition for each batch; a partition is written whole, so a batch that runs again replaces its own."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def put(self, table: str, batch: int, rows: DataFrame) -> DataFrame:
-        at = f"{self.path}/{table}/batch={batch}"
-        rows.write.mode("overwrite").parquet(at)
-        return self.spark.read.parquet(at)
-
-    def before(self, table: str, batch: int, schema: str) -> DataFrame:
-        """Rows of earlier batches, with ``batch``; what a failed attempt of this one left is not among them."""
-        kind = T.StructType.fromDDL(schema).add("batch", T.LongType())
-        try:
-            return self.spark.read.schema(kind).parquet(f"{self.path}/{table}").where(F.col("batch") < batch)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], kind)
+from .store import Store
 
 
 _CANDIDATES = "target long, seq long, n_sources long, source_id string, company_name string, " + ", ".join(f"{f} string" for f in D.FILLED) + ", confidence double, founding_year int, funding_date date, founder_names array<string>"
