@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from ..operators import scoring as S
 from ..operators import upserts as U
 from ..operators.aggregates import independent_sources
 from ..operators.filters import matches_query, recent_enough, without_attempt
+from ..operators.graph import with_checkpoints
+from ..streaming.changes import write_back
+from ..streaming.store import Store
 from .registry import TODAY, Tables, query
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '')"
@@ -228,6 +233,24 @@ def provenance_fold(t: Tables) -> DataFrame:
     return U.current_fields(_updates(t), ["k", "field"])
 
 
+_SPLIT = "2000-06-01"
+
+
+@query(f"""WITH u AS (SELECT o_custkey AS record_id, o_orderstatus AS field, round(o_totalprice / 50000)::INT::VARCHAR AS value, CASE o_orderkey % 6 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS r, o_orderpriority AS source,
+date_diff('day', DATE '1970-01-01', o_orderdate::DATE) * 100000000 + o_orderkey AS seq, o_orderdate < TIMESTAMP '{_SPLIT}' AS old FROM orders),
+a AS (SELECT * FROM u WHERE old QUALIFY row_number() OVER (PARTITION BY record_id, field ORDER BY r DESC, seq DESC) = 1), b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY record_id, field ORDER BY r DESC, seq DESC) = 1)
+SELECT b.record_id, b.field, a.value AS before, b.value AS after, b.source, b.seq, CASE WHEN a.seq IS NULL THEN 'added' WHEN a.value = b.value THEN 'confirmed' ELSE 'changed' END AS change FROM b LEFT JOIN a USING (record_id, field) WHERE a.seq IS NULL OR a.seq <> b.seq""")
+def field_changes(t: Tables) -> DataFrame:
+    """What the orders of the last months change of the fields that all earlier ones have made, as a feed."""
+    with_checkpoints(t.spark)
+    store = Store(t.spark, f"{t.spark.sparkContext.getCheckpointDir()}/fields-{uuid.uuid4().hex}")
+    origin = F.element_at(F.array(*map(F.lit, ("verified", "user", "extracted", "ai", "unverified", "missing"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    seq = F.unix_date(F.col("o_orderdate").cast("date")).cast("long") * 100_000_000 + F.col("o_orderkey")
+    updates = t.orders.select(F.col("o_custkey").cast("long").alias("record_id"), F.col("o_orderstatus").alias("field"), F.round(F.col("o_totalprice") / 50000).cast("int").cast("string").alias("value"), origin.alias("origin"), F.col("o_orderpriority").alias("source"), seq.alias("seq"), F.lit(False).alias("manual"), (F.col("o_orderdate") < _SPLIT).alias("old"))
+    write_back(store, updates.where("old").drop("old"), 0)
+    return write_back(store, updates.where("not old").drop("old"), 1).drop("origin")
+
+
 @query("""WITH i AS (SELECT p_partkey, p_name, p_size, p_retailprice FROM (SELECT p_partkey + 50 AS p_partkey, upper(p_name) AS p_name, p_size + 1 AS p_size, p_retailprice FROM part))
 SELECT coalesce(p.p_partkey, i.p_partkey) AS p_partkey, coalesce(i.p_name, p.p_name) AS p_name, coalesce(p.p_size, i.p_size) AS p_size, coalesce(i.p_retailprice, p.p_retailprice) AS p_retailprice FROM part p FULL JOIN i ON p.p_partkey = i.p_partkey""")
 def upsert_parts(t: Tables) -> DataFrame:
