@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dates import in_period, week_start
 from ..functions.money import share
-from .graph import with_checkpoints
+from .graph import components, with_checkpoints
 
 
 def breakdown(rows: DataFrame, key: str, dimension: DataFrame, dim_key: str, other: str = "unassigned") -> DataFrame:
@@ -142,6 +143,44 @@ def conflicts(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_distinct(value).alias("n_values")).where("n_values > 1")
 
 
+def independent_counts(items: DataFrame, group: str, order: str, host: str, fingerprint: str) -> DataFrame:
+    """(group, n_independent): how many items of a group tell something new, in order.
+
+    As :func:`independent_sources`, for groups of any size. Items meet only
+    through hosts and fingerprints, so each component of the graph of both is
+    judged by itself, in order, with the hosts and fingerprints seen so far in
+    memory; a host and fingerprint that repeat go once. Null hosts and empty
+    or null fingerprints are not compared. Null groups are a group.
+    """
+    with_checkpoints(items.sparkSession)
+    h, f, g = F.col(host), F.nullif(F.col(fingerprint), F.lit("")), F.coalesce(F.col(group).cast("string"), F.lit(""))
+    rows = items.select(F.col(group).alias("_group"), F.concat(F.lit("h"), g, F.lit("\x00"), h).alias("_h"), F.concat(F.lit("f"), g, F.lit("\x00"), f).alias("_f"), F.col(order).alias("_order"))
+    alone = F.col("_h").isNull() & F.col("_f").isNull()
+    firsts = rows.where(~alone).groupBy("_group", "_h", "_f").agg(F.min("_order").alias("_order")).checkpoint()
+    linked = components(firsts, "_h", "_f")
+    placed = firsts.withColumn("node", F.coalesce("_h", "_f")).join(linked, "node", "left").withColumn("_part", F.coalesce("component", "node"))
+    sorted_ = placed.repartition("_part").sortWithinPartitions("_part", "_order").select("_group", "_part", "_order", "_h", "_f")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, hosts, prints = None, set(), set()
+        for frame in batches:
+            out = []
+            for now, name, mark in zip(frame["_part"], frame["_h"], frame["_f"], strict=True):
+                if now != part:
+                    part, hosts, prints = now, set(), set()
+                new = name not in hosts and mark not in prints
+                if new:
+                    hosts.update([name] if name is not None else [])
+                    prints.update([mark] if mark is not None else [])
+                out.append(new)
+            yield pd.DataFrame({"_group": frame["_group"], "_new": out})
+
+    kind = items.schema[group].dataType.simpleString()
+    judged = sorted_.mapInPandas(judge, f"_group {kind}, _new boolean")
+    every = judged.unionByName(rows.where(alone).select("_group", F.lit(True).alias("_new")))
+    return every.groupBy("_group").agg(F.count_if("_new").alias("n_independent")).withColumnRenamed("_group", group)
+
+
 def independent_sources(evidence: Column) -> Column:
     """How many of an array<struct<host, fingerprint>> tell something new, in order.
 

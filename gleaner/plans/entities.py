@@ -14,7 +14,7 @@ from ..operators import decisions as X
 from ..operators import matching as M
 from ..operators import scoring as S
 from ..operators import upserts as U
-from ..operators.aggregates import independent_sources
+from ..operators.aggregates import independent_counts
 from ..operators.filters import matches_query, recent_enough, without_attempt
 from ..operators.graph import with_checkpoints
 from ..streaming.changes import write_back
@@ -327,11 +327,7 @@ def anchored_events(t: Tables) -> DataFrame:
 def independent_hosts(t: Tables) -> DataFrame:
     """How many pages of each language tell something new, in order of page."""
     rows = t.pages.select("page_id", host(F.col("url")).alias("host"), claim_fingerprint(readable_text(F.col("html"))).alias("fingerprint"), F.regexp_extract("html", 'lang="(\\w+)"', 1).alias("lang"))
-    # Only the first page of a host and fingerprint can count; without either, every page does.
-    alone = F.when(F.col("host").isNull() & (F.col("fingerprint") == ""), F.col("page_id"))
-    firsts = rows.groupBy("lang", "host", "fingerprint", alone.alias("alone")).agg(F.min("page_id").alias("page_id"))
-    listed = firsts.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "host", "fingerprint"))), lambda x: x.dropFields("page_id")).alias("e"))
-    return listed.select("lang", independent_sources(F.col("e")).alias("n_independent"))
+    return independent_counts(rows, "lang", "page_id", "host", "fingerprint")
 
 
 @query("""SELECT user_id, list_aggregate(list_sort(list_distinct(list(event_type))), 'string_agg', ',') AS seen, CASE WHEN list_contains(list(event_type), 'error') THEN 'has-error' ELSE 'clean' END AS state FROM events GROUP BY 1""")

@@ -280,3 +280,15 @@ def test_floor_quantiles_of_groups_of_any_size(spark, most, cells):
     assert got == want
     every = sorted(v for _, v in rows if v is not None and v == v)
     assert [tuple(r) for r in aggregates.floor_quantiles(df, [], "v", {"half": 0.5}, most, cells).collect()] == [(every[int(len(every) * 0.5)],)]
+
+
+def test_independent_counts_of_groups_of_any_size(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, *(f"h{k}" for k in range(25))]), rng.choice([None, "", *(f"f{k}" for k in range(60))])) for i in range(600)]
+    want = {}
+    for _, g, h, f in rows:
+        hosts, prints, n = want.setdefault(g, [set(), set(), 0])
+        if (h is None or h not in hosts) and (not f or f not in prints):
+            want[g] = [hosts | {h} - {None}, prints | ({f} if f else set()), n + 1]
+    got = {r["g"]: r["n_independent"] for r in aggregates.independent_counts(spark.createDataFrame(rows, "i long, g string, h string, f string"), "g", "i", "h", "f").collect()}
+    assert got == {g: w[2] for g, w in want.items()}
