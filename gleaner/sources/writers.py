@@ -1,10 +1,10 @@
-"""Sinks: CSV exports, append-only tables, replaced partitions and snapshots."""
+"""Sinks: CSV exports, append-only tables and replaced partitions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import java
@@ -39,14 +39,6 @@ def replace_partitions(rows: DataFrame, path: str, partition_by: Sequence[str])
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
-def snapshot(spark: SparkSession, table: DataFrame, root: str, version: str) -> dict[str, int]:
-    """A version of a table beside earlier ones, checked by count after it is written."""
-    path = f"{root}/version={version}"
-    table.write.mode("errorifexists").parquet(path)
-    n = spark.read.parquet(path).count()
-    return {"rows": n}
-
-
 def audit_view(log: DataFrame, at: str, text: str, most: int = 500) -> DataFrame:
     """The newest entries of an audit log, secrets blacked out."""
     hidden = F.regexp_replace(text, java(r"(?i)\b(sk-[A-Za-z0-9_-]{8,}|Bearer\s+[A-Za-z0-9._-]{8,}|(?:api[_-]?key|token|secret|password)\s*[=:]\s*\S+)"), "[redacted]")
