@@ -96,7 +96,7 @@ def published_at(html: Column) -> Column:
     return F.to_date(F.nullif(F.regexp_extract(stated, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("")))
 
 
-def _character(code: Column) -> Column:
+def character(code: Column) -> Column:
     """The character of a code point, by its four bytes."""
     return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
 
@@ -110,7 +110,7 @@ def decoded(text: Column) -> Column:
     codes = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#(x?[0-9A-Fa-f]{1,6});"), F.lit(1)))
     number = lambda c: F.when(c.startswith("x"), F.conv(F.substring(c, 2, 6), 16, 10)).otherwise(c).cast("int")
     usable = F.filter(codes, lambda c: number(c).between(1, 0x10FFFF) & ~number(c).between(0xD800, 0xDFFF))
-    s = F.aggregate(usable, s, lambda t, c: F.replace(t, F.concat(F.lit("&#"), c, F.lit(";")), _character(number(c))))
+    s = F.aggregate(usable, s, lambda t, c: F.replace(t, F.concat(F.lit("&#"), c, F.lit(";")), character(number(c))))
     return collapsed(F.regexp_replace(s, "&amp;", "&"))
 
 
