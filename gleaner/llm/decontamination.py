@@ -331,7 +331,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), text: str = "text") -> DataFrame:
-    """Pipeline stage: the rows of ``docs`` that hold no window of any item."""
+    """Pipeline stage: the rows of ``docs`` that hold no window of any item.
+
+    Null and empty texts hold nothing and stay, as do null ids; repeated rows
+    stay or go together, and repeated items count once. A very long text is
+    read whole. An empty benchmark takes nothing, an empty table gives no
+    rows; other columns stay as they are, whatever their names. Of a benchmark
+    beyond one slice each slice reads the documents once more.
+    """
     flag = fresh(docs, "clean")
     for items, n in _slices(benchmark, "item_id", "text", limits):
         before, docs = docs, docs.withColumn(flag, _free_of(items, limits)(F.col(text))).where(F.col(flag)).drop(flag)

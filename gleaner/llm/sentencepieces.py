@@ -526,5 +526,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Pipeline stage: the sampled pieces beside each document."""
+    """Pipeline stage: the sampled pieces beside each document.
+
+    As :func:`encode` has it: null texts have null pieces, empty ones none,
+    repeated rows the same. The new column is ``pieces``, or that with
+    underscores before it where the table has one. No rows give no rows.
+    """
     return encode(docs, tokenizer, into=fresh(docs, "pieces"))

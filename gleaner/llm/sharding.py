@@ -142,7 +142,9 @@ def shards(docs: DataFrame, n: int = 24, text: str = "text", id_col: str = "doc_
     and the largest has the least possible bytes. ``slot`` numbers a shard's
     rows from 0 without gaps. Null texts count as empty. A group larger than
     a fair share fills a shard of its own; fewer groups than shards leave
-    the last shards empty. Repeated rows get slots of their own.
+    the last shards empty. Repeated rows get slots of their own, ties between
+    them go either way. A very long text is one size like any other. An empty
+    table gives no rows; a column named as a new one is an error.
     """
     clash = {"size", "content_digest", "shard", "slot", "_piece", "_start"} & {c.lower() for c in docs.columns}
     if clash:
