@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import company_class as K
 from ..functions import funding as E
 from ..functions import sectors as S
 from ..functions.classify import INJECTION_FLAGS, STATED_STAGES, flags, stage_of
@@ -241,6 +242,30 @@ def sector_classes(t: Tables) -> DataFrame:
     return found.select("doc_id", "c.label", "c.score", F.col("c.confidence").cast("double").alias("confidence"), S.subvertical_of(F.col("c.label"), F.col("said")).alias("subvertical"))
 
 
+#: Words of what is made and of who pays, by sector; a vocabulary is the caller's.
+_SIGNALS = {"health": (["patient", "diagnostics", "care"], ["clinics", "hospital"]), "fintech": (["payments", "payroll", "insurance"], ["bank", "underwriting"]), "frontier": (["robots", "satellites", "drones"], ["fleet", "ment"]), "fow": (["hiring", "language model", "platform"], ["employer", "er "])}
+_LISTED = ("", "B2B, Fintech", "Robotics; Health", "Data / Education", "Unknown", "Consumer", "Climate, Healthcare")
+_COUNT = lambda words: "(" + " + ".join(f"contains(low, '{w}')::INT" for w in words) + ")"
+_BY_SECTOR = " UNION ALL ".join(f"SELECT doc_id, {i} AS rank, '{s}' AS sector, {_COUNT(does)} AS nd, {_COUNT(pays)} AS np FROM w" for i, (s, (does, pays)) in enumerate(_SIGNALS.items()))
+_LIST_SECTOR = "CASE " + " ".join(f"WHEN len(list_filter(parts, lambda p: regexp_matches(p, '{p}'))) > 0 THEN '{s}'" for s, p in K.DIRECTORY) + " END"
+
+
+@query(f"""WITH w AS (SELECT doc_id, text || ' ' || {_pick(_WORDS, "doc_id")} AS said, ' ' || regexp_replace(lower(text || ' ' || {_pick(_WORDS, "doc_id")}), '\\s+', ' ', 'g') || ' ' AS low, {_pick(_LISTED, "doc_id")} AS listed, lang <> 'fr' AS resolved, n_chars % 2 = 0 AS own FROM documents),
+u AS ({_BY_SECTOR}), x AS (SELECT *, nd * (np + 1) AS score FROM u), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) AS nth FROM x),
+b AS (SELECT a.doc_id, a.sector AS top, a.score, a.nd, a.np, CASE WHEN c.score > 0 AND c.score >= a.score * 0.5 THEN c.sector END AS other FROM o a JOIN o c ON a.doc_id = c.doc_id AND a.nth = 1 AND c.nth = 2),
+l AS (SELECT doc_id, said, resolved, own, list_filter(list_transform(string_split_regex(listed, '[,;/]'), lambda p: trim(p)), lambda p: p <> '') AS parts, regexp_matches(listed, '{K.NO_CATEGORY}') AS empty FROM w),
+d AS (SELECT *, CASE WHEN NOT empty THEN {_LIST_SECTOR} END AS dir FROM l JOIN b USING (doc_id)),
+e AS (SELECT *, CASE WHEN NOT resolved THEN NULL WHEN score >= 2 THEN top ELSE dir END AS label FROM d)
+SELECT doc_id, label AS sector, CASE WHEN resolved AND score >= 2 THEN other END AS secondary, {_SUB} AS subvertical, CASE WHEN resolved AND score >= 2 AND own AND np > 0 THEN 'explicit' ELSE 'inferred' END AS basis,
+CASE WHEN NOT resolved THEN 0.0 WHEN score >= 2 THEN floor(greatest(0.1, least(0.95, 0.35::DOUBLE * least(1.0, nd / 4) + 0.45::DOUBLE * least(1.0, np / 3) + CASE WHEN own THEN 0.2 ELSE 0.05 END + CASE WHEN dir IS NULL THEN 0.0 WHEN dir = top THEN 0.1 ELSE -0.1 END - CASE WHEN other IS NOT NULL THEN 0.15 ELSE 0.0 END))::DOUBLE * 100 + 0.5) / 100 WHEN dir IS NOT NULL THEN 0.4 ELSE 0.0 END AS confidence,
+CASE WHEN NOT resolved THEN 'identity-unresolved' WHEN score < 2 AND dir IS NULL THEN 'no-product-or-buyer-stated' END AS gap FROM e""")
+def company_classes(t: Tables) -> DataFrame:
+    """Sector of every document as a company's own words, with a directory's categories beside them."""
+    said = F.concat("text", F.lit(" "), _chosen(_WORDS, "doc_id"))
+    found = K.company_class(said, F.col("lang") != "fr", F.col("n_chars") % 2 == 0, _chosen(_LISTED, "doc_id"), _SIGNALS)
+    return t.documents.withColumn("c", found).select("doc_id", "c.*")
+
+
 _PLACES = ("Austin", "new york, texas", "Barcelona, Spain", "sf", " Salem ,  or. ", "", "Washington DC", "Ohio", "tx", "Newark, New Jersey, USA")
 
 
