@@ -15,10 +15,11 @@ from ..functions.names import note_body
 from ..functions.places import city_and_state, state_code
 from ..functions.rules import matches
 from ..functions.urls import filing_index_url
+from ..operators import company_table as W
 from ..operators import leads as L
 from ..operators import qualification as Q
 from ..operators.aggregates import founder_kpis as kpis_of_founders
-from ..operators.decisions import SOURCE_FAMILY, SOURCE_TIER, tier_of
+from ..operators.decisions import LIVE_CLASSES, SOURCE_FAMILY, SOURCE_TIER, tier_of
 from ..sources.leads import LEAD
 from .registry import TODAY, Tables, query
 
@@ -314,3 +315,40 @@ def founder_kpis(t: Tables) -> DataFrame:
     people = t.orders.select(F.col("o_custkey").alias("company_id"), F.col("o_orderpriority").alias("vertical"), (k % 17).alias("run_id"), F.col("o_orderdate").alias("first_seen_at"), F.when(k % 4 == 0, F.col("o_orderdate") + F.expr("interval 30 days")).alias("reviewed_at"), decision.alias("decision"))
     scores = t.customer.select(F.col("c_custkey").alias("company_id"), (F.col("c_acctbal") / 1000).alias("score"), (F.col("c_custkey") % 3 == 0).alias("provisional"))
     return kpis_of_founders(people, scores, F.lit(3), F.lit(TODAY).cast("timestamp"))
+
+
+_TABLES = (
+    W.Wanted(verticals=("BUILDING", "MACHINERY"), least_evidence_confidence=0.5, text=" software "), W.Wanted(live=True, with_amount=True, tier=1), W.Wanted(leads=True, untouched_days=400, quarantined_too=True), W.Wanted(uncorroborated=True, assessed=True, state="7"),
+    W.Wanted(evidence_since="2001-03-01", with_round=True, primary_source="sec"), W.Wanted(classification="company-lead", missing_info=True, text="customer#0000001"), W.Wanted(for_review=True, public_warning=True), W.Wanted(stage="2", possible_duplicates=True, promising=True, fund_warning=True),
+)
+
+
+def _companies_flat(t: Tables) -> DataFrame:
+    """A company of each customer, with what its orders tell: the last is its latest evidence, the first its discovery."""
+    orders = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("discovered_at"), F.max("o_orderdate").cast("date").alias("newest"), F.max("o_totalprice").alias("most"), F.count(F.lit(1)).alias("n"), F.min("o_orderpriority").alias("priority"))
+    k, n = F.col("c_custkey"), F.col("n")
+    rows = t.customer.join(orders, k == F.col("o_custkey"), "left")
+    return rows.select(
+        k.alias("id"), F.col("c_name").alias("name"), F.when(k % 4 > 1, "Software for clinics").alias("one_liner"), F.lit(None).cast("string").alias("subcategory"), F.lit("Town").alias("city"), F.col("c_nationkey").cast("string").alias("state"), F.lit(None).cast("string").alias("website"),
+        F.array("c_mktsegment").alias("founder_names"), F.col("c_mktsegment").alias("vertical"), (n % 4).cast("string").alias("stage"), (n > 12).alias("possible_duplicate"), n.isNull().alias("missing_info"), (n / 20).alias("evidence_confidence"), (n < 5).alias("provisional"), (n > 8).alias("needs_diligence"),
+        (F.col("c_acctbal") > 0).alias("eligible"), F.when(n > 15, F.col("newest")).alias("last_refreshed"), "discovered_at", (F.col("c_acctbal") < -900).alias("quarantined"), F.when(n > 10, "active-deal").when(n > 5, "company-lead").alias("classification"), F.when(F.col("priority") == "1-URGENT", "sec").alias("primary_source"),
+        F.when(n > 9, 1).otherwise(2).alias("primary_tier"), F.when(F.col("most") > 300000, F.col("most")).alias("amount_usd"), F.when(n > 6, "Seed").otherwise("").alias("round_type"), (n % 3).cast("int").alias("n_sources"), F.when(n % 2 == 0, "substantive").alias("operating_level"),
+        F.when(n > 7, "human-review-required").alias("qualification"), (F.col("c_acctbal") > 5000).alias("publicly_traded"), (F.col("c_acctbal") > 8000).alias("fund_or_spv"), F.col("newest").alias("evidence_published_at"),
+    )
+
+
+@query(f"""WITH o AS (SELECT o_custkey, min(o_orderdate)::DATE AS discovered, max(o_orderdate)::DATE AS newest, max(o_totalprice) AS most, count(*) AS n, min(o_orderpriority) AS priority FROM orders GROUP BY 1),
+c AS (SELECT *, coalesce(CASE WHEN n > 10 THEN 'active-deal' WHEN n > 5 THEN 'company-lead' END, 'company-lead') AS kind, c_acctbal < -900 AS hidden, lower(concat_ws(' ', c_name, CASE WHEN c_custkey % 4 > 1 THEN 'Software for clinics' END, 'Town', c_nationkey, c_mktsegment)) AS hay FROM customer LEFT JOIN o ON c_custkey = o_custkey),
+r AS (SELECT 0 AS k, c_custkey AS id FROM c WHERE NOT hidden AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND n / 20 >= 0.5 AND contains(hay, 'software')
+UNION ALL SELECT 1, c_custkey FROM c WHERE NOT hidden AND kind IN ({", ".join(_q(x) for x in LIVE_CLASSES)}) AND most > 300000 AND n > 9
+UNION ALL SELECT 2, c_custkey FROM c WHERE kind NOT IN ({", ".join(_q(x) for x in LIVE_CLASSES)}) AND date_diff('day', coalesce(CASE WHEN n > 15 THEN newest END, discovered), DATE '{TODAY}') >= 400
+UNION ALL SELECT 3, c_custkey FROM c WHERE NOT hidden AND NOT coalesce(n % 3 >= 1 AND n % 2 = 0, FALSE) AND n >= 5 AND c_nationkey = 7
+UNION ALL SELECT 4, c_custkey FROM c WHERE NOT hidden AND newest >= DATE '2001-03-01' AND n > 6 AND priority = '1-URGENT'
+UNION ALL SELECT 5, c_custkey FROM c WHERE NOT hidden AND kind = 'company-lead' AND n IS NULL AND contains(hay, 'customer#0000001')
+UNION ALL SELECT 6, c_custkey FROM c WHERE NOT hidden AND n > 7 AND c_acctbal > 5000
+UNION ALL SELECT 7, c_custkey FROM c WHERE NOT hidden AND n % 4 = 2 AND n > 12 AND c_acctbal > 8000) SELECT CAST(k AS INTEGER) AS k, id FROM r""")
+def company_tables(t: Tables) -> DataFrame:
+    """Which companies each of several readers sees, all marked in one pass."""
+    today = F.lit(TODAY).cast("date")
+    seen = F.array_compact(F.array(*(F.when(W.passes(w, today), F.lit(k)) for k, w in enumerate(_TABLES))))
+    return _companies_flat(t).select(F.explode(seen).alias("k"), "id")
