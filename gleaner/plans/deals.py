@@ -16,6 +16,7 @@ from ..functions.places import city_and_state, state_code
 from ..functions.rules import matches
 from ..functions.urls import filing_index_url
 from ..operators import company_table as W
+from ..operators import diversity as Y
 from ..operators import leads as L
 from ..operators import qualification as Q
 from ..operators.aggregates import founder_kpis as kpis_of_founders
@@ -331,14 +332,14 @@ def _companies_flat(t: Tables) -> DataFrame:
     return rows.select(
         k.alias("id"), F.col("c_name").alias("name"), F.when(k % 4 > 1, "Software for clinics").alias("one_liner"), F.lit(None).cast("string").alias("subcategory"), F.lit("Town").alias("city"), F.col("c_nationkey").cast("string").alias("state"), F.lit(None).cast("string").alias("website"),
         F.array("c_mktsegment").alias("founder_names"), F.col("c_mktsegment").alias("vertical"), (n % 4).cast("string").alias("stage"), (n > 12).alias("possible_duplicate"), n.isNull().alias("missing_info"), (n / 20).alias("evidence_confidence"), (n < 5).alias("provisional"), (n > 8).alias("needs_diligence"),
-        (F.col("c_acctbal") > 0).alias("eligible"), F.when(n > 15, F.col("newest")).alias("last_refreshed"), "discovered_at", (F.col("c_acctbal") < -900).alias("quarantined"), F.when(n > 10, "active-deal").when(n > 5, "company-lead").alias("classification"), F.when(F.col("priority") == "1-URGENT", "sec").alias("primary_source"),
+        (F.col("c_acctbal") > 0).alias("eligible"), F.when(n > 15, F.col("newest")).alias("last_refreshed"), "discovered_at", (F.col("c_acctbal") < -900).alias("quarantined"), F.when(n > 10, "verified-current-opportunity").when(n > 5, "company-lead").alias("classification"), F.when(F.col("priority") == "1-URGENT", "sec").alias("primary_source"),
         F.when(n > 9, 1).otherwise(2).alias("primary_tier"), F.when(F.col("most") > 300000, F.col("most")).alias("amount_usd"), F.when(n > 6, "Seed").otherwise("").alias("round_type"), (n % 3).cast("int").alias("n_sources"), F.when(n % 2 == 0, "substantive").alias("operating_level"),
         F.when(n > 7, "human-review-required").alias("qualification"), (F.col("c_acctbal") > 5000).alias("publicly_traded"), (F.col("c_acctbal") > 8000).alias("fund_or_spv"), F.col("newest").alias("evidence_published_at"),
     )
 
 
 @query(f"""WITH o AS (SELECT o_custkey, min(o_orderdate)::DATE AS discovered, max(o_orderdate)::DATE AS newest, max(o_totalprice) AS most, count(*) AS n, min(o_orderpriority) AS priority FROM orders GROUP BY 1),
-c AS (SELECT *, coalesce(CASE WHEN n > 10 THEN 'active-deal' WHEN n > 5 THEN 'company-lead' END, 'company-lead') AS kind, c_acctbal < -900 AS hidden, lower(concat_ws(' ', c_name, CASE WHEN c_custkey % 4 > 1 THEN 'Software for clinics' END, 'Town', c_nationkey, c_mktsegment)) AS hay FROM customer LEFT JOIN o ON c_custkey = o_custkey),
+c AS (SELECT *, coalesce(CASE WHEN n > 10 THEN 'verified-current-opportunity' WHEN n > 5 THEN 'company-lead' END, 'company-lead') AS kind, c_acctbal < -900 AS hidden, lower(concat_ws(' ', c_name, CASE WHEN c_custkey % 4 > 1 THEN 'Software for clinics' END, 'Town', c_nationkey, c_mktsegment)) AS hay FROM customer LEFT JOIN o ON c_custkey = o_custkey),
 r AS (SELECT 0 AS k, c_custkey AS id FROM c WHERE NOT hidden AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND n / 20 >= 0.5 AND contains(hay, 'software')
 UNION ALL SELECT 1, c_custkey FROM c WHERE NOT hidden AND kind IN ({", ".join(_q(x) for x in LIVE_CLASSES)}) AND most > 300000 AND n > 9
 UNION ALL SELECT 2, c_custkey FROM c WHERE kind NOT IN ({", ".join(_q(x) for x in LIVE_CLASSES)}) AND date_diff('day', coalesce(CASE WHEN n > 15 THEN newest END, discovered), DATE '{TODAY}') >= 400
@@ -352,3 +353,41 @@ def company_tables(t: Tables) -> DataFrame:
     today = F.lit(TODAY).cast("date")
     seen = F.array_compact(F.array(*(F.when(W.passes(w, today), F.lit(k)) for k, w in enumerate(_TABLES))))
     return _companies_flat(t).select(F.explode(seen).alias("k"), "id")
+
+
+_FLAT = f"""o AS (SELECT o_custkey, max(o_totalprice) AS most, count(*) AS n, min(o_orderpriority) AS priority FROM orders GROUP BY 1),
+c AS (SELECT *, CASE WHEN n > 10 THEN 'verified-current-opportunity' ELSE 'company-lead' END AS kind, c_acctbal < -900 AS hidden, CASE WHEN n > 7 THEN 'human-review-required' END AS qualification, CASE WHEN priority = '1-URGENT' THEN 'sec' ELSE 'none' END AS source, CASE WHEN priority = '1-URGENT' THEN 'regulatory' ELSE 'other' END AS family,
+'tier' || CASE WHEN n > 9 THEN 1 ELSE 2 END AS tier, CASE WHEN n % 3 >= 2 THEN 'multi-source' ELSE 'single-source' END AS corroboration FROM customer LEFT JOIN o ON c_custkey = o_custkey), l AS (SELECT *, kind = 'verified-current-opportunity' AND NOT hidden AS live FROM c)"""
+
+
+@query(f"""WITH {_FLAT}, t AS (SELECT count(*) AS companies, count(*) FILTER (live) AS deals, count(*) FILTER (NOT live) AS leads, count(*) FILTER (hidden) AS hidden, count(*) FILTER (qualification IS NOT NULL) AS review FROM l),
+u AS (SELECT 'classification' AS dimension, kind AS key, count(*) AS n FROM l GROUP BY ALL UNION ALL SELECT 'qualification', qualification, count(*) FROM l WHERE qualification IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'source', source, count(*) FROM l WHERE live GROUP BY ALL UNION ALL SELECT 'family', family, count(*) FROM l WHERE live GROUP BY ALL UNION ALL SELECT 'tier', tier, count(*) FROM l WHERE live GROUP BY ALL UNION ALL SELECT 'corroboration', corroboration, count(*) FROM l WHERE live GROUP BY ALL
+UNION ALL SELECT 'total', 'companies', companies FROM t UNION ALL SELECT 'total', 'opportunities', deals FROM t UNION ALL SELECT 'total', 'leads', leads FROM t UNION ALL SELECT 'total', 'quarantined', hidden FROM t UNION ALL SELECT 'total', 'for-review', review FROM t)
+SELECT dimension, key, n, CASE WHEN dimension IN ('source', 'family', 'tier', 'corroboration') THEN floor(n / deals * 1000 + 0.5) / 10 END AS share, dimension IN ('source', 'family') AND floor(n / deals * 1000 + 0.5) / 10 > 40 AS warns FROM u, t""")
+def pipeline_diversity(t: Tables) -> DataFrame:
+    return Y.pipeline_diversity(_companies_flat(t))
+
+
+@query(f"""WITH {_FLAT}, f AS (SELECT c_mktsegment AS vertical, family, count(*) AS n FROM l WHERE live AND c_acctbal > 9000 GROUP BY ALL), g AS (SELECT vertical, sum(n)::BIGINT AS qualified, list_sort(list(family)) AS families FROM f GROUP BY 1), v AS (SELECT DISTINCT c_mktsegment AS vertical FROM customer)
+SELECT vertical, coalesce(qualified, 0) AS qualified, coalesce(array_to_string(families, ','), '') AS families, greatest(20 - coalesce(qualified, 0), 0) AS shortfall, concat_ws(',', CASE WHEN len(families) BETWEEN 1 AND 2 THEN 'few-families' END, CASE WHEN coalesce(qualified, 0) < 20 THEN 'short' END) AS warnings FROM v LEFT JOIN g USING (vertical)""")
+def sector_diversity(t: Tables) -> DataFrame:
+    flat = _companies_flat(t).join(t.customer.select(F.col("c_custkey").alias("id"), "c_acctbal"), "id")
+    live = flat.where((F.col("classification") == "verified-current-opportunity") & ~F.col("quarantined") & (F.col("c_acctbal") > 9000))
+    found = Y.sector_diversity(live, t.customer.select(F.col("c_mktsegment").alias("vertical")), 20)
+    return found.select("vertical", "qualified", F.array_join("families", ",").alias("families"), "shortfall", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("""WITH a AS (SELECT o_orderpriority AS arm, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice / 50000 END AS score, o_orderkey % 7 <> 0 AS eligible, o_orderkey % 3 = 0 AS provisional, o_orderkey % 11 AS n_evidence, o_orderkey % 4 AS n_sources FROM orders),
+r AS (SELECT o_orderpriority AS arm, count(*) FILTER (o_orderstatus = 'O') + count(*) FILTER (o_orderstatus = 'F') + count(*) FILTER (o_orderstatus = 'P') AS fetched, count(*) FILTER (o_orderkey % 2 = 0) AS duplicates_identified, count(*) FILTER (o_orderstatus = 'F') AS filtered_by_thesis, count(*) FILTER (o_orderstatus = 'P') AS filtered_by_quality, count(*) FILTER (o_orderkey % 13 = 0) AS invalid FROM orders GROUP BY 1),
+q AS (SELECT arm, list_sort(list(score) FILTER (score IS NOT NULL)) AS s, list_sort(list(n_evidence)) AS e, list_sort(list(n_sources)) AS x, count(*) AS surviving, count(*) FILTER (eligible) AS eligible, count(score) AS scorable, count(*) FILTER (provisional) AS provisional, max(score) AS max_score, count(*) FILTER (score >= 8) AS hot FROM a GROUP BY 1)
+SELECT r.*, surviving, eligible, scorable, provisional, max_score, hot, s[least(len(s), floor(len(s) * 0.5)::INT + 1)] AS median_score, s[least(len(s), floor(len(s) * 0.75)::INT + 1)] AS top_quartile_score, e[least(len(e), floor(len(e) * 0.5)::INT + 1)] AS median_n_evidence, x[least(len(x), floor(len(x) * 0.5)::INT + 1)] AS median_n_sources FROM r JOIN q USING (arm)""")
+def run_funnel(t: Tables) -> DataFrame:
+    """The funnel of the orders as candidates, with their priority as the arm of a run."""
+    k = F.col("o_orderkey")
+    rows = t.orders.withColumn("arm", F.col("o_orderpriority"))
+    assessed = rows.select("arm", F.when(k % 5 != 0, F.col("o_totalprice") / 50000).alias("score"), (k % 7 != 0).alias("eligible"), (k % 3 == 0).alias("provisional"), (k % 11).alias("n_evidence"), (k % 4).alias("n_sources"))
+    one = lambda c: c.cast("long")
+    status = F.col("o_orderstatus")
+    runs = rows.select("arm", one(status == "O").alias("accepted"), one(status == "F").alias("filtered_by_thesis"), one(status == "P").alias("filtered_by_quality"), one(k % 2 == 0).alias("duplicates_identified"), one(k % 13 == 0).alias("invalid"))
+    return Y.funnel(assessed, runs, ["arm"])
