@@ -9,13 +9,14 @@ first, as components of a graph.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, with_checkpoints
 from .matching import edit_distance, fuzzy_pairs
 
 WINDOW_DAYS = 21
@@ -36,34 +37,79 @@ def same_company(a: str, b: str) -> bool:
     return edits <= MOST_EDITS and 1 - edits / longest >= LEAST_SIMILARITY
 
 
+def _begins(key: str) -> list[str]:
+    """The names that begin ``key``, word by word, without itself."""
+    return [key[:i] for i, c in enumerate(key) if c == " " and i]
+
+
 class Anchors:
-    """Heads that are still near, in the order in which they came; days must not go back."""
+    """Heads that are still near, in the order in which they came; days must not go back.
 
-    def __init__(self, days: int = WINDOW_DAYS, heads: list[tuple[str, int]] = ()):
-        self.days, self.heads = days, list(heads)
+    Heads are kept by name and by the names that begin them, so that a name
+    is compared with none of the others.
+    """
 
-    def place(self, key: str, day: int) -> tuple[str, int]:
-        self.heads = [h for h in self.heads if day - h[1] <= self.days]
-        for head in self.heads:
-            if same_company(head[0], key):
-                return head
-        self.heads.append((key, day))
+    def __init__(self, days: int = WINDOW_DAYS, heads: Iterable[tuple[str, int]] = ()):
+        self.days, self.heads, self._gone = days, deque(), 0
+        self._named: dict[str, tuple[int, tuple[str, int]]] = {}
+        self._begun: dict[str, deque[tuple[int, tuple[str, int]]]] = {}
+        for head in heads:
+            self._add(*head)
+
+    def _add(self, key: str, day: int) -> None:
+        head = (self._gone + len(self.heads), (key, day))
+        self.heads.append(head[1])
+        self._named.setdefault(key, head)
+        for begin in _begins(key):
+            self._begun.setdefault(begin, deque()).append(head)
+
+    def _forget(self) -> None:
+        key, _ = self.heads.popleft()
+        if self._named[key][0] == self._gone:
+            del self._named[key]
+        for begin in _begins(key):
+            self._begun[begin].popleft()
+            if not self._begun[begin]:
+                del self._begun[begin]
+        self._gone += 1
+
+    def place(self, key: str, day: int, near: Iterable[str] | None = None) -> tuple[str, int]:
+        """The first head of the same company, or a new one. ``near``: all nearly equal names, if these are known."""
+        while self.heads and day - self.heads[0][1] > self.days:
+            self._forget()
+        found = [self._named[k] for k in (key, *_begins(key), *(near if near is not None else ())) if k in self._named]
+        if key in self._begun:
+            found.append(self._begun[key][0])
+        if near is None:
+            found += next(([(self._gone + i, head)] for i, head in enumerate(self.heads) if same_company(head[0], key)), [])
+        if found and key:
+            return min(found)[1]
+        self._add(key, day)
         return key, day
 
 
-def key_links(keys: DataFrame, key: str = "key") -> DataFrame:
-    """(a, b) of distinct keys that may be one company's: a key and each key that begins it, word by word, and near spellings."""
+def near_names(keys: DataFrame, key: str = "key") -> DataFrame:
+    """(key, other), both ways round: names that are nearly, but not quite, the same."""
+    distinct = keys.select(F.col(key).alias("b")).where(F.col(key) != "").distinct()
+    return fuzzy_pairs(distinct, distinct, "b", LEAST_LENGTH, MOST_EDITS, LEAST_SIMILARITY).select("key", "other")
+
+
+def key_links(keys: DataFrame, key: str = "key", near: DataFrame | None = None) -> DataFrame:
+    """(a, b) of distinct keys that may be one company's: a key and each key that begins it, word by word, and near spellings.
+
+    ``near`` are the :func:`near_names`, if these were found before.
+    """
     distinct = keys.select(F.col(key).alias("b")).where(F.col(key) != "").distinct()
     words = F.split("b", " ")
     starts = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, 1, n), " ")))
     longer = distinct.select("b", F.explode(starts).alias("a")).join(distinct.select(F.col("b").alias("a")), "a", "left_semi").select("a", "b")
-    near = fuzzy_pairs(distinct, distinct, "b", LEAST_LENGTH, MOST_EDITS, LEAST_SIMILARITY)
+    near = near_names(keys, key) if near is None else near
     return longer.union(near.where("key < other").select("key", "other"))
 
 
-def identities(keys: DataFrame, key: str = "key") -> DataFrame:
+def identities(keys: DataFrame, key: str = "key", near: DataFrame | None = None) -> DataFrame:
     """(key, identity) of every distinct key: names that a chain of links joins have one identity, the smallest of them."""
-    found = components(key_links(keys, key)).select(F.col("node").alias(key), F.col("component").alias("identity"))
+    found = components(key_links(keys, key, near)).select(F.col("node").alias(key), F.col("component").alias("identity"))
     alone = keys.select(key).where(F.col(key).isNotNull()).distinct().join(found, key, "left")
     return alone.select(key, F.coalesce("identity", key).alias("identity"))
 
@@ -86,23 +132,26 @@ def heads_of(events: DataFrame, key: str, at: str, order: str, days: int = WINDO
     Within a day announcements go by ``order``. ``known`` gives the
     (key, identity) of names that were resolved before. Null or empty names
     and null days have no head. Each stretch of an identity passes through
-    one task in order, which keeps the heads of the last ``days`` only.
+    one task in order, which keeps the heads of the last ``days`` only and
+    finds the one to join by name: near spellings come along with each name.
     """
-    pairs = events.where((F.col(key) != "") & F.col(at).isNotNull()).groupBy(F.col(key).alias("key"), F.unix_date(F.col(at).cast("date")).alias("day")).agg(F.min(order).alias("seq"))
-    named = pairs.join(identities(pairs) if known is None else known, "key")
+    with_checkpoints(events.sparkSession)
+    pairs = events.where((F.col(key) != "") & F.col(at).isNotNull()).groupBy(F.col(key).alias("key"), F.unix_date(F.col(at).cast("date")).alias("day")).agg(F.min(order).alias("seq")).checkpoint()
+    near = near_names(pairs).checkpoint()
+    named = pairs.join(identities(pairs, near=near) if known is None else known, "key").join(near.groupBy("key").agg(F.collect_list("other").alias("near")), "key", "left")
     sorted_ = stretches(named, days=days).repartition("identity", "stretch").sortWithinPartitions("identity", "stretch", "day", "seq", "key")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, anchors = None, Anchors(days)
         for rows in batches:
             out = []
-            for identity, stretch, key_, day in zip(rows["identity"], rows["stretch"], rows["key"], rows["day"], strict=True):
+            for identity, stretch, key_, day, near_ in zip(rows["identity"], rows["stretch"], rows["key"], rows["day"], rows["near"], strict=True):
                 if (identity, stretch) != now:
                     now, anchors = (identity, stretch), Anchors(days)
-                out.append((key_, day, *anchors.place(key_, int(day))))
+                out.append((key_, day, *anchors.place(key_, int(day), () if near_ is None else near_)))
             yield pd.DataFrame(out, columns=["key", "day", "head_key", "head_day"])
 
-    return sorted_.select("identity", "stretch", "day", "seq", "key").mapInPandas(fold, ASSIGNED)
+    return sorted_.select("identity", "stretch", "day", "seq", "key", "near").mapInPandas(fold, ASSIGNED)
 
 
 def with_heads(events: DataFrame, heads: DataFrame, key: str, at: str) -> DataFrame:

@@ -148,3 +148,24 @@ def test_stream_gives_the_heads_of_the_batch_for_any_arrival_order(spark, tmp_pa
         if k:
             want[k, (d - epoch).days] = (heads[s][0], (heads[s][1] - epoch).days)
     assert got == want
+
+
+def test_a_name_is_compared_with_few_heads(monkeypatch):
+    monkeypatch.setattr(M, "same_company", lambda a, b: pytest.fail("compared with every head"))
+    anchors = M.Anchors()
+    for i in range(2000):
+        anchors.place(f"name{i} labs", i // 100, ())
+    assert anchors.place("name7", 20, ()) == ("name7 labs", 0)
+    assert anchors.place("name8 labs inc", 20, ["name7 labs"]) == ("name7 labs", 0)
+    assert anchors.place("name7 labs", 22, ()) == ("name7 labs", 22)
+    assert list(anchors.heads)[0] == ("name100 labs", 1)
+
+
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    order = random.Random(1).sample(range(400), 400)
+    links, rounds = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long"), []
+    checkpoint = type(links).checkpoint
+    monkeypatch.setattr(type(links), "checkpoint", lambda df: rounds.append(1) or checkpoint(df))
+    found = components(links).collect()
+    assert len(found) == 400 and {r["component"] for r in found} == {0}
+    assert len(rounds) <= 35
