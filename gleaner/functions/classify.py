@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import first_match, half_up, java, literal_of, matches, once, trimmed
+from .rules import first_match, found_in, half_up, java, once, trimmed, with_low
 
 # How sources name a round, in the order in which they are tried.
 STATED_STAGES = (
@@ -50,12 +50,11 @@ def scored_labels(text: Column, rules: Mapping[str, Sequence[tuple[str, int]]])
     """
 
     def scores(x: Column) -> Column:
-        # Most patterns hold a literal that most texts lack, and looking for that is far quicker.
-        hit = lambda p: x["low"].contains(literal_of(p)) & matches(x["text"], p) if literal_of(p) else matches(x["text"], p)
+        hit = lambda p: found_in(x["text"], x["low"], p)
         each = [F.struct(sum((F.when(hit(p), w).otherwise(0) for p, w in patterns), F.lit(0)).alias("score"), F.lit(-rank).alias("rank"), F.lit(label).alias("label")) for rank, (label, patterns) in enumerate(rules.items())]
         return F.sort_array(F.array(*each), asc=False)
 
-    return once(F.struct(text.alias("text"), F.lower(text).alias("low")), scores)
+    return once(with_low(text), scores)
 
 
 def classified(text: Column, rules: Mapping[str, Sequence[tuple[str, int]]], least: int = 3) -> Column:
@@ -80,7 +79,7 @@ def does_and_pays(text: Column, does: Sequence[str], pays: Sequence[str]) -> Col
 
 def flags(text: Column, rules: Sequence[tuple[str, str]] = INJECTION_FLAGS) -> Column:
     """Labels of all rules that match, in order."""
-    return F.array_compact(F.array(*(F.when(matches(text, p), F.lit(label)) for label, p in rules)))
+    return once(with_low(text), lambda x: F.array_compact(F.array(*(F.when(found_in(x["text"], x["low"], p), F.lit(label)) for label, p in rules))))
 
 
 def without_secrets(text: Column) -> Column:

@@ -57,3 +57,12 @@ def test_sectors_beside_accents(spark):
     texts = {"AIÊ!! for hiring LLM": ("fow", 7), "AI for hiring LLM": ("fow", 7), "AIX hiring": ("fow", 3), "ÉAI hiring": ("fow", 4), "": (None, 0)}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("c", sectors.sector_of(F.col("t"))).collect()
     assert {r["t"]: (r["c"]["label"], r["c"]["score"]) for r in rows} == texts
+
+
+def test_literals_that_a_match_must_hold():
+    from gleaner.functions.rules import literals_of
+
+    assert literals_of(r"(?i)\b(?:IPO|went public)\b") == ("ipo", "went public")
+    assert literals_of(r"(?i)\b(?:was )?acquired by\b") == ("acquired by",)
+    assert literals_of(r"(?i)\bare\s+now\b|\bnew\s+rules?\b") == ("are", "rule")
+    assert literals_of(r"\ba?b*(?:x|\d)\b") == ()
