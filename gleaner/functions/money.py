@@ -82,7 +82,8 @@ def token_cost(usage: DataFrame, prices: DataFrame, model: str = "model", at: st
     rates = ("input", "output", "cache_read", "cache_write", "web_search")
     p = prices.select(F.col("model").alias("_m"), F.col("valid_from").alias("_a"), F.col("valid_to").alias("_b"), *(F.col(r).alias(f"_{r}") for r in rates))
     day = F.col(at).cast("date")
-    # Spark sees how large the list is, and broadcasts a small one by itself.
+    # Joined by model alone, a frequent model's uses would all go to one task.
+    p = F.broadcast(p) if prices.count() <= 100_000 else p
     joined = usage.join(p, (F.col(model) == F.col("_m")) & (day >= F.col("_a")) & (F.col("_b").isNull() | (day < F.col("_b"))), "left")
     rate = lambda r: F.coalesce(F.col(f"_{r}"), F.lit(dear[r] if dear else None))
     cost = (F.col("input_tokens") * rate("input") + F.col("output_tokens") * rate("output") + F.col("cached_tokens") * rate("cache_read") + F.col("cache_write_tokens") * rate("cache_write")) / 1e6 + F.col("web_searches") * rate("web_search")

@@ -291,3 +291,14 @@ def test_independent_counts_of_groups_of_any_size(spark):
             want[g] = [hosts | {h} - {None}, prints | ({f} if f else set()), n + 1]
     got = {r["g"]: r["n_independent"] for r in aggregates.independent_counts(spark.createDataFrame(rows, "i long, g string, h string, f string"), "g", "i", "h", "f").collect()}
     assert got == {g: w[2] for g, w in want.items()}
+
+
+def test_uses_of_a_frequent_model_stay_where_they_are(spark, capsys):
+    from gleaner.functions.money import token_cost
+
+    prices = spark.sparkContext.parallelize([("A", None, 1.0)]).toDF("model string, valid_to date, input double")
+    prices = prices.select("model", F.lit("1990-01-01").cast("date").alias("valid_from"), "valid_to", "input", *(F.col("input").alias(c) for c in ("output", "cache_read", "cache_write", "web_search")))
+    usage = spark.range(10).select(F.lit("A").alias("model"), F.lit("2001-01-01").alias("at"), *(F.col("id").alias(c) for c in ("input_tokens", "output_tokens", "cached_tokens", "cache_write_tokens", "web_searches")))
+    token_cost(usage, prices).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
