@@ -74,6 +74,18 @@ def test_bands_fitted_to_labels_on_held_out_ones(spark):
     assert out[0] >= 0.85 * (out[0] + out[1])
 
 
+def test_bands_learn_from_every_good_text(spark):
+    """Limits are points of all texts, also of those past the first 20,000 by hash."""
+    few = [f"{i:06d} {i * 7919 % 999983:06d} {i * 104729 % 999983:06d} of words and then some more to read as one" for i in range(24_000)]
+    ids = [r["id"] for r in spark.range(24_000).orderBy(F.xxhash64("id"), "id").collect()]
+    texts = {k: few[k] if at < 20_000 else "aaaaaaaa aaaaaaab aaaaaaac aaaaaaad aaaaaaae aaaaaaaf aaaaaaag aaaaaaah aaaaaaai aaaa" for at, k in enumerate(ids)}
+    docs, labels = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.range(24_000).selectExpr("id AS doc_id", "1 AS quality")
+    packer = Q.zstandard.ZstdCompressor(level=Q.Bands().level)
+    ratios = sorted(len(packer.compress(t.encode())) / len(t) for t in texts.values())
+    low, high = next((a, b) for at, a, b in Q.fit_bands(docs, labels).whole if at == 48)
+    assert low == pytest.approx(ratios[48] * 0.985, abs=1e-4) and high == pytest.approx(ratios[-48] * 1.1, abs=1e-4)
+
+
 PATTERNS = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile(r"[0-9a-f]+"), 0, 32)]
 
 
