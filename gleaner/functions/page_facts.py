@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ TITLES = (
     "co-founder & coo", "co-founder", "cofounder", "founding partner", "founding engineer", "founder", "chief executive officer", "chief technology officer", "chief operating officer", "chief scientific officer",
     "chief medical officer", "chief financial officer", "chief product officer", "managing director", "president", "ceo", "cto", "coo", "cso", "cmo", "cfo",
 )
+# Of these every title holds one.
+TITLE_WORDS = ("found", "chief", "director", "president", "ceo", "cto", "coo", "cso", "cmo", "cfo")
 OTHER_TITLES = ("advisor", "adviser", "board member", "board observer", "investor", "mentor", "intern", "contractor", "consultant", "emeritus", "former", "ex-", "alumni")
 NOT_NAMES = (
     "our", "team", "about", "us", "the", "and", "meet", "leadership", "contact", "careers", "privacy", "policy", "terms", "service", "cookie", "learn", "more", "read", "get", "started", "sign", "up", "log", "in", "home", "blog",
@@ -31,6 +35,8 @@ NOT_NAMES = (
 PARTICLES = ("van", "von", "de", "del", "della", "da", "di", "du", "la", "le", "bin", "ibn", "al", "el", "mac", "mc", "st")
 # Cues of places and of money raised, what a sentence with money speaks of instead, and lines that are no description.
 PLACE_CUE = r"(?:head[- ]?quarter(?:ed|s)?(?:\s+in)?|based\s+in|located\s+in|offices?\s+in|hq(?:\s+in)?)"
+# Of these every cue of a place holds one.
+PLACE_WORDS = ("quarter", "based", "located", "office", "hq")
 RAISING = r"(?:rais(?:e[sd]?|ing)|secur(?:e[sd]|ing)|clos(?:e[sd]|ing)|land(?:e[sd]|ing)|nett(?:e[sd])|announc(?:e[sd]|ing)\s+(?:a|an|its))"
 MONEY = r"\$\s?\d[\d.,]*\s*(?:million|billion|[MBK])\b"
 NOT_RAISED = (
@@ -41,9 +47,13 @@ ROUND_NAME = r"(?i)\b(pre-?seed|seed|series\s+[a-e](?:-\d)?|bridge|growth|strate
 BOILERPLATE = r"(?i)cookie|privacy policy|terms of service|all rights reserved|sign in|log in|subscribe"
 
 _CAPITAL = r"[A-Z\x{00C0}-\x{024F}]"
-_NAME = rf"{_CAPITAL}[\w'’.-]+(?:\s+{_CAPITAL}[\w'’.-]+){{1,3}}"
+# What follows a word of a name is never of that word's characters, so words are taken whole or not at all.
+_NAME = rf"{_CAPITAL}[\w'’.-]++(?:\s++{_CAPITAL}[\w'’.-]++){{1,3}}"
 _TITLE = "|".join(re.sub(r"[-\s&]", lambda _: r"[-\s&]+", t) for t in sorted(TITLES, key=lambda t: -len(t)))
-NAME_THEN_TITLE = rf"(?i)({_NAME})(?:\s*[,–—|·:]\s*|\s+[-–—]\s+)((?:{_TITLE})[^.;|\n]{{0,40}}?)(?=\s+{_CAPITAL}|[.;|\n]|\z)"
+# With letters of either case, a name that begins within a word begins with it too; words of plain letters are tried once.
+NAME_THEN_TITLE = rf"(?i)(?:(?<!{_CAPITAL})|(?![A-Z]))({_NAME})(?:\s*[,–—|·:]\s*|\s+[-–—]\s+)((?:{_TITLE})[^.;|\n]{{0,40}}?)(?=\s+{_CAPITAL}|[.;|\n]|\z)"
+# What a name and its title have between them, and the title: far quicker to look for than the name before.
+MARK_THEN_TITLE = rf"(?i)(?:[,–—|·:]\s*|\s[-–—]\s+)(?:{_TITLE})"
 TITLE_THEN_NAME = rf"\b((?:{_TITLE})(?:\s+(?:and|&)\s+\w+)?)\s*[,:]?\s+({_NAME})"
 AROUND = 60
 _PERSON = "array<struct<full_name:string,title:string,support:string>>"
@@ -87,16 +97,22 @@ def clean_title(raw: Column) -> Column:
 def _found(text: Column, pattern: str, name: int, title: int) -> Column:
     """Matches of a pattern with the text around them."""
     p = java(pattern)
-    every = lambda k: F.regexp_extract_all(text, F.lit(p), F.lit(k))
-    both = F.arrays_zip(F.split(text, p, -1).alias("between"), every(0).alias("whole"), every(name).alias("name"), every(title).alias("title"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["between"])
-        person = F.struct(name_at_end(x["name"]).alias("full_name"), clean_title(x["title"]).alias("title"), shortened(F.substring(text, F.greatest(at - AROUND, F.lit(0)) + 1, F.least(at, F.lit(AROUND)) + F.length(x["whole"]) + AROUND)).alias("support"))
-        return F.struct((at + F.length(x["whole"])).alias("at"), F.when(x["whole"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(person))).alias("out"))
+    def persons(whole: Column) -> Column:
+        # A match is what it is without the text around it, so names and titles are read from matches.
+        both = F.arrays_zip(F.split(text, p, -1).alias("between"), whole.alias("whole"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_PERSON).alias("out"))
-    return F.filter(F.aggregate(both, start, step, lambda acc: acc["out"]), lambda p: p["full_name"].isNotNull() & p["title"].isNotNull())
+        def step(acc: Column, x: Column) -> Column:
+            at = acc["at"] + F.length(x["between"])
+            part = lambda k: F.regexp_extract(x["whole"], p, k)
+            person = F.struct(name_at_end(part(name)).alias("full_name"), clean_title(part(title)).alias("title"), shortened(F.substring(text, F.greatest(at - AROUND, F.lit(0)) + 1, F.least(at, F.lit(AROUND)) + F.length(x["whole"]) + AROUND)).alias("support"))
+            return F.struct((at + F.length(x["whole"])).alias("at"), F.when(x["whole"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(person))).alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(_PERSON).alias("out"))
+        found = F.filter(F.aggregate(both, start, step, lambda acc: acc["out"]), lambda p: p["full_name"].isNotNull() & p["title"].isNotNull())
+        return F.when(F.size(whole) == 0, F.array().cast(_PERSON)).otherwise(found)
+
+    return once(F.regexp_extract_all(text, F.lit(p), F.lit(0)), persons)
 
 
 def people(text: Column, most: int = 8) -> Column:
@@ -105,11 +121,16 @@ def people(text: Column, most: int = 8) -> Column:
     Names before titles are read first, then titles before names; each name
     counts once, at its first mention.
     """
+
     def first_each(every: Column) -> Column:
         keys = F.transform(every, lambda p: F.lower(p["full_name"]))
         return F.slice(F.filter(every, lambda p, i: F.array_position(keys, F.lower(p["full_name"])) == i + 1), 1, most)
 
-    return once(F.concat(_found(text, NAME_THEN_TITLE, 1, 2), _found(text, TITLE_THEN_NAME, 2, 1)), first_each)
+    before = F.when(text.rlike(MARK_THEN_TITLE), _found(text, NAME_THEN_TITLE, 1, 2)).otherwise(F.array().cast(_PERSON))
+    found = once(F.concat(before, _found(text, TITLE_THEN_NAME, 2, 1)), first_each)
+    # Most texts hold no title, and looking for one's words is far quicker than matching around it.
+    titled = once(F.lower(text), lambda low: reduce(or_, (low.contains(w) for w in TITLE_WORDS)))
+    return F.when(titled, found).when(text.isNotNull(), F.array().cast(_PERSON))
 
 
 def location(text: Column) -> Column:
@@ -120,11 +141,13 @@ def location(text: Column) -> Column:
     city = r"[A-Z][A-Za-z.'-]+(?:\s+[A-Z][A-Za-z.'-]+){0,2}"
     cued, postal, based, alone = rf"(?i){PLACE_CUE}\s+({city}),\s*([A-Za-z .]{{2,20}})\b", rf"({city}),\s*([A-Z]{{2}})\s+\d{{5}}(?:-\d{{4}})?", r"(?i)\b([A-Za-z][A-Za-z .]{1,22}?)[-\s]based\b", rf"(?i){PLACE_CUE}\s+([A-Za-z][A-Za-z .]{{1,22}}?)(?:[.,;]|\s+and\b|$)"
     known = lambda p, i: lookup(F.lower(F.trim(part(p, 1))), {k: v[i] for k, v in CITY_STATES.items()})
+    cue = once(F.lower(text), lambda low: reduce(or_, (low.contains(w) for w in PLACE_WORDS)))
+    says_based = F.lower(text).contains("based")
     return F.coalesce(
-        F.when(state_code(part(cued, 2)).isNotNull(), place(title_case(collapsed(part(cued, 1))), state_code(part(cued, 2)), part(cued, 0))),
-        F.when(part(postal, 2).isin(*STATE_CODES.values()), place(title_case(collapsed(part(postal, 1))), part(postal, 2), part(postal, 0))),
-        F.when(known(based, 0).isNotNull(), place(known(based, 0), known(based, 1), part(based, 0))),
-        F.when(known(alone, 0).isNotNull(), place(known(alone, 0), known(alone, 1), part(alone, 0))),
+        F.when(cue & state_code(part(cued, 2)).isNotNull(), place(title_case(collapsed(part(cued, 1))), state_code(part(cued, 2)), part(cued, 0))),
+        F.when(clean.rlike(r"[A-Z]{2} [0-9]{5}") & part(postal, 2).isin(*STATE_CODES.values()), place(title_case(collapsed(part(postal, 1))), part(postal, 2), part(postal, 0))),
+        F.when(says_based & known(based, 0).isNotNull(), place(known(based, 0), known(based, 1), part(based, 0))),
+        F.when(cue & known(alone, 0).isNotNull(), place(known(alone, 0), known(alone, 1), part(alone, 0))),
     )
 
 
@@ -136,9 +159,10 @@ def description(text: Column, name: Column) -> Column:
     def tells(s: Column) -> Column:
         letters = F.regexp_replace(F.lower(s), "[^a-z0-9]", "")
         rest = F.length(letters) - F.when(F.contains(letters, stem), F.length(stem)).otherwise(0)
-        return F.size(F.split(trimmed(s), " ")).between(6, 45) & (F.length(trimmed(s)) <= 300) & ~s.rlike(BOILERPLATE) & (rest >= 30)
+        # White space is single spaces by then.
+        return F.size(F.split(F.trim(s), " ")).between(6, 45) & (F.length(F.trim(s)) <= 300) & ~s.rlike(BOILERPLATE) & (rest >= 30)
 
-    return F.when(F.length(clean) >= 40, trimmed(F.get(F.filter(F.split(clean, r"(?<=[.!?])\s+"), tells), F.lit(0))))
+    return F.when(F.length(clean) >= 40, F.trim(F.get(F.filter(F.split(clean, r"(?<=[.!?])\s+"), tells), F.lit(0))))
 
 
 def raised(text: Column, name: Column) -> Column:

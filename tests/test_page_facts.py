@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -96,3 +97,11 @@ def test_descriptions_and_pages(spark):
     pages = spark.createDataFrame([(1, "<p>Jane Okonkwo, Founder.</p><p>Acme is based in Austin, TX and packs boxes.</p>", "Acme"), (2, None, None), (3, "", "Acme")], "id long, html string, name string")
     rows = {r["id"]: r for r in P.facts_of(pages, "id", "name").collect()}
     assert rows[1]["people"][0]["full_name"] == "Jane Okonkwo" and rows[1]["location"]["state"] == "TX" and rows[2]["people"] == [] == rows[3]["people"] and rows[2]["location"] is None
+
+
+def test_a_long_word_costs_its_length(spark):
+    text = "x" * 100_000 + "; Ann Lee, CEO. Rob3rt Ray Éa Bé - Founder"
+    start = time.monotonic()
+    got = spark.createDataFrame([(text,)], "text string").select(P.people(F.col("text"))).first()[0]
+    assert [(p["full_name"], p["title"]) for p in got] == [("Ann Lee", "CEO")]
+    assert time.monotonic() - start < 10
