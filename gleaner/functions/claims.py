@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import collapsed, java, matches, once, trimmed
+from .rules import collapsed, found_in, java, matches, once, trimmed, with_low
 
 # What shows that a sentence is of an earlier company.
 PRIOR_COMPANY = (
@@ -47,19 +47,36 @@ def told_sentences(text: Column) -> Column:
 
 def returns_to_company(sentence: Column, company: Column) -> Column:
     """Whether a sentence speaks of the company again, by its name or of what it does now."""
-    named = F.regexp_like(sentence, F.concat(F.lit("(?i)" + java(_WORD_END)), _literally(company), F.lit(java(_WORD_END))))
-    return F.coalesce((company != "") & named, F.lit(False)) | matches(sentence, SPEAKS_NOW)
+    return once(with_low(sentence), lambda x: _returns(x, company))
+
+
+def _returns(x: Column, company: Column) -> Column:
+    """As :func:`returns_to_company`, of a struct of the sentence and its lower case."""
+    # A pattern that differs from row to row is compiled for each sentence, so only for those that can hold the name.
+    held = ~company.rlike(r"\A\p{ASCII}*+\z") | F.contains(x["low"], F.lower(company))
+    named = held & F.regexp_like(x["text"], F.concat(F.lit("(?i)" + java(_WORD_END)), _literally(company), F.lit(java(_WORD_END))))
+    return F.coalesce((company != "") & named, F.lit(False)) | found_in(x["text"], x["low"], SPEAKS_NOW)
 
 
 def tells_of_founder(sentence: Column, founders: Column) -> Column:
     """Whether a sentence is about a named founder: by full name, or by surname beside an office."""
-    office = matches(sentence, OFFICE)
+    return once(_surnamed(founders), lambda people: _tells(sentence, people))
+
+
+def _surnamed(founders: Column) -> Column:
+    """array<struct<name, last>>: names with their last word, which is null if there is but one of three letters or more."""
 
     def named(name: Column) -> Column:
         parts = F.filter(F.split(name, r"(?U)\s+"), lambda p: F.length(p) > 2)
-        return sentence.contains(name) | ((F.size(parts) > 1) & sentence.contains(F.element_at(parts, -1)) & office)
+        return F.struct(name.alias("name"), F.when(F.size(parts) > 1, F.element_at(parts, -1)).alias("last"))
+
+    return F.transform(founders, named)
+
 
-    return F.coalesce(F.exists(founders, named), F.lit(False))
+def _tells(sentence: Column, people: Column) -> Column:
+    # A missing surname is as good as one that isn't there.
+    beside = lambda p: F.coalesce(sentence.contains(p["last"]), F.lit(False)) & matches(sentence, OFFICE)
+    return F.coalesce(F.exists(people, lambda p: sentence.contains(p["name"]) | beside(p)), F.lit(False))
 
 
 def narrative(sentences: Column, company: Column, founders: Column) -> Column:
@@ -70,13 +87,14 @@ def narrative(sentences: Column, company: Column, founders: Column) -> Column:
     letter starts is filled with it, so the fold is linear in the text.
     """
 
-    def letter(s: Column) -> Column:
-        prior = tells_of_founder(s, founders)
+    def letter(x: Column, people: Column) -> Column:
+        prior = _tells(x["text"], people)
         for p in PRIOR_COMPANY:
-            prior = prior | matches(s, p)
-        return F.when(prior, "P").when(returns_to_company(s, company), "C").otherwise("-")
+            prior = prior | found_in(x["text"], x["low"], p)
+        return F.when(prior, "P").when(_returns(x, company), "C").otherwise("-")
 
-    letters = F.concat_ws("", F.transform(sentences, letter))
+    # Surnames are split off once a text.
+    letters = once(_surnamed(founders), lambda people: F.concat_ws("", F.transform(F.transform(sentences, with_low), lambda x: letter(x, people))))
     filled = F.transform(F.regexp_extract_all(letters, F.lit("[PC]-*|^-+"), F.lit(0)), lambda run: F.repeat(F.substring(run, 1, 1), F.length(run)))
     return F.transform(F.split(F.concat_ws("", filled), ""), lambda c: c == "P")
 

@@ -69,3 +69,11 @@ def test_a_long_text_without_marks_is_linear(spark):
     text = "customers say so. " + "word " * 200_000 + "a.b." + "word " * 100_000
     df = spark.createDataFrame([(1, text)], "id long, t string")
     assert df.select(F.size(C.claims(F.col("t"), "description", F.lit(""), F.array().cast("array<string>"))).alias("n")).first()["n"] == 0
+
+
+def test_names_are_sought_once_a_text_and_patterns_where_they_can_match(spark):
+    founders = ["Ann Smith5", "Bob Smith7", "Solo"]
+    text = " ".join(f"This is sentence {i} of a long text on nothing." for i in range(500)) + " Our CEO Smith7 left. AΣ B is here."
+    frame = spark.createDataFrame([(text, "AΣ B", founders)], "text string, company string, founders array<string>")
+    got = frame.select(C.narrative(C.told_sentences(F.col("text")), F.col("company"), F.col("founders"))).first()[0]
+    assert got == [False] * 500 + [True, False]
