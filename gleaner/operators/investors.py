@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.funding import EQUITY_LANGUAGE, MOST_AGE_DAYS, company_of, disqualified, headquarters, investors_of, round_of, stated_raise
 from ..functions.names import company_key
-from ..functions.rules import java, matches, trimmed
+from ..functions.rules import found_in, java, matches, once, trimmed, with_low
 from ..functions.urls import host
 
 LEAST_ALIAS = 4
@@ -94,17 +94,23 @@ def participation(text: Column, aliases: Column) -> Column:
     name as its owner, then its name within language of participation, then
     first-person language that names nobody.
     """
+    return once(with_low(text), lambda x: _participation(x, aliases))
+
+
+def _participation(x: Column, aliases: Column) -> Column:
+    """As :func:`participation`, of a struct of the text and its lower case."""
+    text, low = x["text"], x["low"]
     took = lambda how, quote, span: F.struct(F.lit(how).alias("how"), _quoted(quote).alias("quote"), span.alias("span")).cast(_TOOK_PART)
-    named = [F.when(matches(text, p), took("first-person", F.regexp_extract(text, java(p), 0), F.regexp_extract(text, java(p), 1))) for p in NAMES_COMPANY]
-    stated = [F.when(matches(text, p), took("first-person", F.regexp_extract(text, java(p), 0), F.lit(None).cast("string"))) for p in STATES_ONLY]
+    named = [F.when(found_in(text, low, p), took("first-person", F.regexp_extract(text, java(p), 0), F.regexp_extract(text, java(p), 1))) for p in NAMES_COMPANY]
+    stated = [F.when(found_in(text, low, p), took("first-person", F.regexp_extract(text, java(p), 0), F.lit(None).cast("string"))) for p in STATES_ONLY]
     known = F.filter(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: F.length(a) >= LEAST_ALIAS)
 
     def owner(alias: Column) -> Column:
         pattern = F.concat(F.lit(f"(?i){_END}"), _literally(alias), F.lit(r"['’]s\s+(?:latest\s+|newest\s+|first\s+)?investment\s+in\s+(.{2,70})"))
-        return F.when(F.regexp_like(text, pattern), took("first-person", _group(text, pattern, 0), _group(text, pattern, 1)))
+        return F.when(low.contains("investment") & F.regexp_like(text, pattern), took("first-person", _group(text, pattern, 0), _group(text, pattern, 1)))
 
     def participant(alias: Column) -> Column:
-        window = context_of(text, alias)
+        window = _context(text, low, alias)
         return F.when(matches(window, PARTICIPATION), took("named-as-participant", window, F.lit(None).cast("string")))
 
     first = lambda use: F.get(F.filter(F.transform(known, use), lambda x: x.isNotNull()), F.lit(0))
@@ -113,8 +119,12 @@ def participation(text: Column, aliases: Column) -> Column:
 
 def context_of(text: Column, alias: Column) -> Column:
     """The first mention of ``alias`` with up to 90 characters before and 60 after it on its line; null without one."""
+    return _context(text, F.lower(text), alias)
+
+
+def _context(text: Column, low: Column, alias: Column) -> Column:
     pattern = F.concat(F.lit(f"(?i)(.{{0,90}}){_END}"), _literally(alias), F.lit(f"{_END}(.{{0,60}})"))
-    return F.when(F.contains(F.lower(text), F.lower(alias)) & F.regexp_like(text, pattern), F.concat(_group(text, pattern, 1), alias, _group(text, pattern, 2)))
+    return F.when(F.contains(low, F.lower(alias)) & F.regexp_like(text, pattern), F.concat(_group(text, pattern, 1), alias, _group(text, pattern, 2)))
 
 
 def _words(text: Column) -> Column:

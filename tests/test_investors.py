@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -111,3 +112,12 @@ def test_events_of_firms(spark):
     first = got["https://menlo.example.com/1"]
     assert first["amount_usd"] is None and first["investors"][0] == "Menlo Ventures" and first["publisher"] == "menlo.example.com" and first["participation"] == "Our Investment in Cheiron"
     assert got["https://arch.example.com/2"]["amount_text"] == "$17.5M (as stated by ARCH (Venture))" and got["https://arch.example.com/2"]["participation"] == "ARCH-backed SonoThera secures $17.5M Series B"
+
+
+def test_patterns_are_tried_where_a_text_holds_their_words(spark):
+    """A long text that begins every pattern at every word, and holds none of what they must go on with."""
+    text = "we led co-we have just co- our latest newest leading we are the " * 120_000
+    start = time.monotonic()
+    frame = spark.createDataFrame([(text, ["Menlo Ventures"]), ("We LED it", None)], "text string, aliases array<string>")
+    assert [r[0] for r in frame.select(V.participation(F.col("text"), F.col("aliases"))["quote"]).collect()] == ["we led", "We LED"]
+    assert time.monotonic() - start < 10
