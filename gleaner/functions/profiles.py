@@ -15,6 +15,7 @@ PROFILE_URL = r"(?i)^https?://(?:www\.)?ycombinator\.com/companies/([a-z0-9][a-z
 FOUNDERS, LAUNCHES, CARD = r"(?i)Active\s+Founders", r"(?i)Company\s+Launches", r"(?i)Primary\s+Partner"
 AFTER_FOUNDERS, AFTER_LAUNCHES = r"(?i)Company\s+Launches|Jobs at|Similar Companies|<footer", r"(?i)Similar\s+Companies|Jobs at|Active\s+Founders|<footer"
 FOUNDER_NAME, FOUNDER_ROLE, FOUNDER_BIO, COMPANY_NAME, PROSE, TAG = "text-xl font-bold", "text-gray-600", "whitespace-pre-line", "text-xl font-medium", "prose", "ycdc-badge"
+AFTER_CARD = r"(?i)Active\s+Founders|Company\s+Launches|Similar\s+Companies|Jobs at|<footer"
 NOT_OWN = r"(?i)ycombinator\.com|linkedin\.com|twitter\.com|x\.com|facebook\.com|instagram\.com|github\.com|plus\.google|bookface|startupschool"
 BLOCK = r"(?i)<\s*/?\s*(?:div|p|li|ul|ol|br|h[1-6]|section|tr|td|table|blockquote)\b[^>]*>"
 ENTITIES = ((r"(?i)&#x27;|&#39;|&apos;", "'"), ("(?i)&quot;", '"'), ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&#x2019;|&rsquo;", "’"))
@@ -54,8 +55,13 @@ def labelled(html: Column, label: str) -> Column:
     return F.coalesce(F.nullif(beside, F.lit("")), F.nullif(flat, F.lit("")))
 
 
-def _from(text: Column, at: Column, n: Column | int) -> Column:
-    return F.substring(text, at, F.lit(n) if isinstance(n, int) else n)
+def _first(text: Column, n: Column) -> Column:
+    return F.substring(text, F.lit(1), n)
+
+
+def _onwards(text: str, at: str) -> Column:
+    """``text`` from place ``at`` to its end."""
+    return F.expr(f"substring({text}, {at})")
 
 
 def _founders(section: Column) -> Column:
@@ -64,7 +70,7 @@ def _founders(section: Column) -> Column:
     def person(part: Column) -> Column:
         role, bio = F.get(of_class(part, FOUNDER_ROLE), F.lit(0)), F.get(of_class(part, FOUNDER_BIO), F.lit(0))
         link = F.regexp_extract(part, r'(?i)href="(https://(?:www\.)?linkedin\.com/in/[^"]+)"', 1)
-        return F.struct(stripped(F.substring_index(part, "</div>", 1)).alias("full_name"), role.alias("role"), F.substring(bio, 1, 1200).alias("bio"), F.nullif(link, F.lit("")).alias("linkedin"))
+        return F.struct(stripped(F.substring_index(part, "</div>", 1)).alias("full_name"), role.alias("role"), bio.alias("bio"), F.nullif(link, F.lit("")).alias("linkedin"))
 
     def each_once(people: Column) -> Column:
         key = lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.lower(p["full_name"]), r"[^\p{L}\s]", ""), r"\s+", " "))
@@ -83,19 +89,22 @@ def profiles(pages: DataFrame, key: str, url: str = "url", html: str = "html") -
     Founders stand between their heading and the next, the company's site in
     the card below the partner's row, the launch post between its heading and
     the next; a description is prose outside the founders' section that is no
-    founder's own. Each part is found once, in a step of its own. Pages at
-    other addresses, and null ones, are left out.
+    founder's own. A part without a next heading lasts to the page's end, and
+    all are read whole, however long. Each is found once, in a step of its
+    own. Pages at other addresses, and null ones, are left out.
     """
     d = pages.select(key, F.regexp_extract(F.trim(url), PROFILE_URL, 1).alias("slug"), F.col(html).alias("_h")).where("slug <> '' and _h is not null").withColumn("slug", F.lower("slug"))
     h = F.col("_h")
     d = d.withColumns({"_at": F.regexp_instr(h, F.lit(FOUNDERS)), "_launch": F.regexp_instr(h, F.lit(LAUNCHES)), "_card": F.regexp_instr(h, F.lit(CARD))})
-    d = d.withColumn("_rest", F.when(F.col("_at") > 0, F.expr("substring(_h, _at)"))).withColumn("_end", F.regexp_instr("_rest", F.lit(AFTER_FOUNDERS)))
-    d = d.withColumn("_section", F.when(F.col("_end") > 1, _from(F.col("_rest"), F.lit(1), F.col("_end") - 1)).otherwise(F.substring("_rest", 1, 40_000)))
-    d = d.withColumns({"founders": _founders(F.col("_section")), "_slab": F.when(F.col("_launch") > 1, _from(h, F.col("_launch"), 12_000)), "_links": F.regexp_extract_all(F.when(F.col("_card") > 1, _from(h, F.col("_card"), 4000)).otherwise(""), F.lit(r'(?i)href="(https?://[^"]+)"'), F.lit(1))})
-    d = d.withColumn("_stop", F.regexp_instr(F.expr("substring(_slab, 2)"), F.lit(AFTER_LAUNCHES)))
-    launch = F.substring(lined(F.when(F.col("_stop") > 1, _from(F.col("_slab"), F.lit(1), F.col("_stop"))).otherwise(F.substring("_slab", 1, 6000))), 1, 4000)
-    before = F.when(F.col("_at") > 0, _from(h, F.lit(1), F.col("_at") - 1)).otherwise(h)
-    after = F.when(F.col("_at") > 0, F.expr("substring(_h, _at + length(_section))")).otherwise("")
+    d = d.withColumn("_rest", F.when(F.col("_at") > 0, _onwards("_h", "_at"))).withColumn("_end", F.regexp_instr("_rest", F.lit(AFTER_FOUNDERS)))
+    d = d.withColumn("_section", F.when(F.col("_end") > 1, _first(F.col("_rest"), F.col("_end") - 1)).otherwise(F.col("_rest")))
+    d = d.withColumns({"founders": _founders(F.col("_section")), "_slab": F.when(F.col("_launch") > 1, _onwards("_h", "_launch")), "_below": F.when(F.col("_card") > 1, _onwards("_h", "_card"))})
+    d = d.withColumns({"_stop": F.regexp_instr(_onwards("_slab", "2"), F.lit(AFTER_LAUNCHES)), "_foot": F.regexp_instr("_below", F.lit(AFTER_CARD))})
+    card = F.when(F.col("_foot") > 0, _first(F.col("_below"), F.col("_foot") - 1)).otherwise(F.coalesce("_below", F.lit("")))
+    d = d.withColumn("_links", F.regexp_extract_all(card, F.lit(r'(?i)href="(https?://[^"]+)"'), F.lit(1)))
+    launch = lined(F.when(F.col("_stop") > 1, _first(F.col("_slab"), F.col("_stop"))).otherwise(F.col("_slab")))
+    before = F.when(F.col("_at") > 0, _first(h, F.col("_at") - 1)).otherwise(h)
+    after = F.when(F.col("_at") > 0, _onwards("_h", "_at + length(_section)")).otherwise("")
     prose = F.filter(F.concat(of_class(before, PROSE), of_class(after, PROSE)), lambda t: (F.length(t) > 60) & ~F.coalesce(F.array_contains(F.transform("founders", lambda f: f["bio"]), t), F.lit(False)))
     whole = lambda c, pattern: F.when(c.rlike(pattern), c.cast("int"))
     return d.select(

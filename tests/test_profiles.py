@@ -96,3 +96,24 @@ def test_claims_of_a_profile(spark):
     found = P.profiles(spark.createDataFrame([(1, "https://ycombinator.com/companies/grade", h)], "id long, url string, html string"), "id")
     got = {(r["quote"], r["section"], r["about_company"]) for r in P.profile_claims(found, "id").collect()}
     assert got == {("Today we handle payouts for 40 customers", "launch-post", True), ("Our CEO, Sam Oberly, ran a pilot with two large hospitals", "prior-company", False), ("Sam signed contracts with nine clinics elsewhere.", "founder-bio", False)}
+
+
+def test_long_parts_are_read_whole(spark):
+    long = lambda word, n: " ".join(f"{word}{k}" for k in range(n))
+    person = lambda name, bio: f'<div class="text-xl font-bold">{name}</div><div class="text-gray-600">Founder</div><div class="prose whitespace-pre-line">{bio}</div>'
+    bio, post, prose = long("bio", 9000), long("told", 3000), long("own", 400)
+    card = '<div>Primary Partner</div><i>' + long("row", 2000) + '</i><a href="https://grade.example.com">site</a>'
+    launch, others = f"<h2>Company Launches</h2><p>{post}</p>", '<h2>Similar Companies</h2><a href="https://other.example.com">o</a>'
+    people = "<h2>Active Founders</h2>" + person("Ana Lee", bio) + person("Sam Oberly", "short")
+    ends = "<h2>Active Founders</h2>" + person("Ana Lee", prose)
+    pages = [
+        f"<html>{card}{launch}{others}{people}", f"<html>{ends}{launch}", f'<html><div class="prose">{prose}</div>{ends}<footer>', f"<html><div>Primary Partner</div>{others}", f"<html>{launch}<b>{long('more', 3000)}</b><footer>gone",
+    ]
+    rows = [(i, f"https://www.ycombinator.com/companies/grade-{i}", h) for i, h in enumerate(pages)]
+    got = {r["id"]: r for r in P.profiles(spark.createDataFrame(rows, "id long, url string, html string"), "id").collect()}
+    whole = f"Company Launches\n{post}"
+    assert [(f["full_name"], f["bio"]) for f in got[0]["founders"]] == [("Ana Lee", bio), ("Sam Oberly", "short")]
+    assert [got[i]["launch_post"] for i in range(5)] == [whole, whole, None, None, f"{whole}\n{long('more', 3000)}"]
+    assert [got[i]["website"] for i in range(5)] == ["https://grade.example.com", None, None, None, None]
+    # A bio is no description, however long.
+    assert got[2]["description"] is None and got[1]["founders"][0]["bio"] == prose
